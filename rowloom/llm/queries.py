@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm import lines, mixing, pii, secrets
+from rowloom.llm import lines, mixing, pii, secrets, simhash
 from rowloom.llm.common import staged, table, word_count
 
 
@@ -20,6 +20,11 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(docs).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return secrets.digest(found, pii.KINDS)
@@ -29,5 +34,5 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text", "source")))
 
 
-QUERIES = {"op5_pii": op5_pii, "op9_secrets": op9_secrets, "op6_mixing": op6_mixing, "op8_line_dedup": op8_line_dedup}
+QUERIES = {"op1_simhash": op1_simhash, "op5_pii": op5_pii, "op9_secrets": op9_secrets, "op6_mixing": op6_mixing, "op8_line_dedup": op8_line_dedup}
 ORACLES = {"op6_mixing": mixing.MIX_SQL, "op8_line_dedup": lines.LINES_SQL}
