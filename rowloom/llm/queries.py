@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm import lines, mixing, pii, secrets, simhash
+from rowloom.llm import lines, mixing, pii, secrets, simhash, toxicity
 from rowloom.llm.common import staged, table, word_count
 
 
@@ -34,5 +34,9 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text", "source")))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op5_pii": op5_pii, "op9_secrets": op9_secrets, "op6_mixing": op6_mixing, "op8_line_dedup": op8_line_dedup}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op10_toxicity": op10_toxicity, "op1_simhash": op1_simhash, "op5_pii": op5_pii, "op9_secrets": op9_secrets, "op6_mixing": op6_mixing, "op8_line_dedup": op8_line_dedup}
 ORACLES = {"op6_mixing": mixing.MIX_SQL, "op8_line_dedup": lines.LINES_SQL}
