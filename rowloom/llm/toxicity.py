@@ -84,94 +84,131 @@ def triples(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
         yield owner, (a << 12) | (b << 6) | c, c > 0, DECAY ** (j - 2)
 
 
+def by_width(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Codes, owners and width of the words' parts, short words in narrow matrices."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    for least, width in ((-1, 12), (10, 20), (18, WIDTH)):
+        chosen = np.flatnonzero((lengths > least) & ((lengths <= width - 2) | (width == WIDTH)))
+        if len(chosen):
+            codes, owner = letter_codes([words[i] for i in chosen], width)
+            yield codes, chosen[owner], width
+
+
+def norm_of(codes: np.ndarray) -> np.ndarray:
+    """Root of the sum of squared triple weights of each row."""
+    real = np.count_nonzero(codes, axis=1)
+    return np.sqrt(np.maximum(sum(np.maximum(real - j, 0) * DECAY ** (2 * j - 4) for _, j in _STEPS), 1e-9))
+
+
 def word_scores(words: list[str], weights: np.ndarray) -> np.ndarray:
-    """Sum of the weights of a word's triples over the root of the sum of its squared triple weights.
+    """Highest over a word's parts of the sum of the triples' weights over the part's norm.
 
-    Short words go through narrow matrices. Triples that reach past a word's end have weight 0.
+    Triples that reach past a word's end have weight 0.
     """
     best = np.full(len(words), -np.inf)
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    for least, width in ((-1, 12), (10, 20), (18, WIDTH)):
-        chosen = np.flatnonzero((lengths > least) & ((lengths <= width - 2) | (width == WIDTH)))
-        if not len(chosen):
-            continue
-        codes, owner = letter_codes([words[i] for i in chosen], width)
-        real = np.count_nonzero(codes, axis=1)
-        total, norm = np.zeros(len(codes)), np.zeros(len(codes))
+    for codes, owner, width in by_width(words):
+        total = np.zeros(len(codes))
         high, middle = codes << 12, codes << 6
         for i, j in _STEPS:
             ids = high[:, : width - j] | middle[:, i : width - j + i]
             ids |= codes[:, j:]
             total += weights[ids].sum(axis=1) * DECAY ** (j - 2)
-            norm += np.maximum(real - j, 0) * DECAY ** (2 * j - 4)
-        np.maximum.at(best, chosen[owner], total / np.sqrt(np.maximum(norm, 1e-9)))
+        np.maximum.at(best, owner, total / norm_of(codes))
     return best
 
 
 def landmark_features(words: list[str], landmarks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Kernel of each word with each landmark; the landmarks' triples and their values, a row for each triple."""
-    table: dict[int, dict[int, float]] = {}
-    norm = np.zeros(len(landmarks))
+    """Kernel of each word with each landmark (a word of several parts: the last one's); the landmarks' triples and their values."""
+    table: dict[int, np.ndarray] = {}
     for owner, ids, real, weight in triples(landmarks):
         for row, which, is_real in zip(owner, ids, real, strict=True):
             for triple in which[is_real]:
-                at = table.setdefault(int(triple), {})
-                at[row] = at.get(row, 0.0) + weight
-            norm[row] += is_real.sum() * weight**2
+                table.setdefault(int(triple), np.zeros(len(landmarks), np.float32))[row] += weight
+    for codes, owner, _ in by_width(landmarks):
+        for row, norm in zip(owner, norm_of(codes), strict=True):
+            for at in table.values():
+                at[row] /= norm
     known = np.array(sorted(table), np.int64)
-    values = np.zeros((len(known) + 1, len(landmarks)), np.float32)
-    for i, triple in enumerate(known):
-        for row, v in table[int(triple)].items():
-            values[i, row] = v / np.sqrt(norm[row])
+    values = np.vstack([*[table[int(t)] for t in known], np.zeros((1, len(landmarks)), np.float32)])
     place = np.full(1 << 18, len(known), np.int32)
     place[known] = np.arange(len(known))
     out = np.zeros((len(words), len(landmarks)), np.float32)
-    for s in range(0, len(words), 2000):
-        some = words[s : s + 2000]
-        sums, norms = np.zeros((len(some), len(landmarks)), np.float32), np.zeros(len(some))
-        for owner, ids, real, weight in triples(some):
-            at = np.where(real, place[ids], len(known))
-            for column in range(at.shape[1]):
-                hit = at[:, column] < len(known)
-                if hit.any():
-                    np.add.at(sums, owner[hit], values[at[hit, column]] * np.float32(weight))
-            np.add.at(norms, owner, real.sum(axis=1) * weight**2)
-        out[s : s + 2000] = sums / np.sqrt(np.maximum(norms, 1e-9))[:, None]
+    for s in range(0, len(words), 4000):
+        for codes, owner, width in by_width(words[s : s + 4000]):
+            sums = np.zeros((len(codes), len(landmarks)), np.float32)
+            for i, j in _STEPS:
+                ids = place[(codes[:, : width - j] << 12) | (codes[:, i : width - j + i] << 6) | codes[:, j:]]
+                for column in range(ids.shape[1]):
+                    hit = np.flatnonzero(ids[:, column] < len(known))
+                    sums[hit] += values[ids[hit, column]] * np.float32(DECAY ** (j - 2))
+            out[s + owner] = sums / norm_of(codes)[:, None]
     return out, known, values[:-1]
 
 
-def train_machine(words: list[str], positive: np.ndarray, negative: np.ndarray, n_landmarks: int, penalty: float = 1e-3, rounds: int = 300) -> np.ndarray:
-    """One weight per triple. positive, negative: the share of documents of either label that hold a word."""
-    odds = positive * np.log((positive + 1e-3) / (negative + 1e-3))
-    telling = np.argsort(-odds, kind="stable")[: n_landmarks // 2]
-    common = np.argsort(-negative, kind="stable")[: n_landmarks]
+def train_machine(words: list[str], pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int, n_landmarks: int, hard: np.ndarray, penalty: float = 1e-4) -> np.ndarray:
+    """One weight per triple, from the numbers ``pos`` and ``neg`` of toxic and other documents that hold each word.
+
+    A toxic document says little about most of its words. A word is a witness as far as more
+    toxic documents hold it than chance explains; after a first training, words that no other
+    document holds and that the machine takes for witnesses' kin become witnesses too.
+    """
+    expected = neg * n_pos / n_neg
+    z = (pos - expected) / np.sqrt(expected + 1)
+    surprise = np.clip(1 - 9 / np.maximum(z, 1e-9) ** 2, 0, 1) * (z > 0)
+    if not surprise.any():
+        surprise = np.clip(z, 0, None)
+    telling = np.lexsort((np.arange(len(z)), -z))[: n_landmarks // 2]
+    common = np.argsort(-neg, kind="stable")[:n_landmarks]
     chosen = list(dict.fromkeys([*telling.tolist(), *common.tolist()]))[:n_landmarks]
-    landmarks = [words[i] for i in chosen]
-    kernel, known, values = landmark_features(words, landmarks)
-    values_l, vectors = np.linalg.eigh(kernel[chosen].astype(np.float64))
-    keep = values_l > 1e-4 * values_l.max()
-    whiten = vectors[:, keep] / np.sqrt(values_l[keep])
+    kernel, known, values = landmark_features(words, [words[i] for i in chosen])
+    spread, vectors = np.linalg.eigh(kernel[chosen].astype(np.float64))
+    keep = spread > 1e-3 * spread.max()
+    whiten = vectors[:, keep] / np.sqrt(spread[keep])
     x = np.hstack([kernel @ whiten, np.ones((len(words), 1))])
-    pull, push = positive / positive.sum(), 3 * negative / negative.sum()
-    step = 1 / (2 * np.linalg.norm((x.T * (pull + push)) @ x, 2) + penalty)
-    w = look = np.zeros(x.shape[1])
-    for k in range(rounds):  # accelerated gradient on the squared hinge
-        s = x @ look
-        slope = x.T @ (-2 * pull * np.maximum(0, 1 - s) + 2 * push * np.maximum(0, 1 + s)) + penalty * look
-        w, before = look - step * slope, w
-        look = w + k / (k + 3) * (w - before)
+    push = (neg + 0.1) / (neg + 0.1).sum()
+    push = push + (neg > 0) / max(1, (neg > 0).sum())  # rare words count too
+    if hard.any():
+        push = push + 2 * hard / hard.sum()
+    for again in range(3):
+        pull = pos / n_pos * surprise
+        pull = pull / max(pull.sum(), 1e-12)
+        w = np.zeros(x.shape[1])
+        for _ in range(20):  # Newton's method on the squared hinge
+            s = x @ w
+            short, above = pull * (s < 1), push * (s > -1)
+            new = np.linalg.solve((x.T * (short + above)) @ x + penalty * np.eye(len(w)), x.T @ (short - above))
+            w, moved = new, np.abs(new - w).max()
+            if moved < 1e-6:
+                break
+        surprise = np.maximum(surprise, np.where(neg == 0, np.clip(2 * (x @ w) - 1, 0, 1), 0))
     weights = np.zeros(1 << 18, np.float32)
     weights[known] = values @ (whiten @ w[:-1])
     return weights
 
 
-def fit_logistic(score: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the label's log odds, by Newton's method with a slight penalty."""
-    x, w = np.stack([score, np.ones_like(score)], 1), np.zeros(2)
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w -= np.linalg.solve((x.T * (p * (1 - p))) @ x + 1e-3 * np.eye(2), x.T @ (p - label) + 1e-3 * w)
-    return float(w[0]), float(w[1])
+def fit_logistic(score: np.ndarray, label: np.ndarray) -> tuple[float, float, float]:
+    """Slope, offset and floor of the probability: toxic labels without a toxic word are a floor, not a reason for a flat slope.
+
+    Fisher scoring for each floor of a short list; the likeliest wins.
+    """
+    mean, spread = score.mean(), score.std() + 1e-9
+    score = (score - mean) / spread
+    x = np.stack([score, np.ones_like(score)], 1)
+    best = (-np.inf, 0.0, 0.0, 0.0)
+    for floor in (0.0, 0.01, 0.02, 0.03, 0.05, 0.08, 0.12):
+        middle = np.quantile(score, 1 - label.mean())
+        w = np.array([1.0, -middle])
+        for _ in range(200):
+            q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            p = np.clip(floor + (1 - floor) * q, 1e-6, 1 - 1e-6)
+            d = (1 - floor) * q * (1 - q)
+            info = (x.T * (d * d / (p * (1 - p)))) @ x + 1e-3 * np.eye(2)
+            move = np.linalg.solve(info, x.T @ ((label - p) * d / (p * (1 - p))) - 1e-3 * w)
+            w = w + move * min(1.0, 0.5 / max(1e-9, np.abs(move).max()))
+        fit = (label * np.log(p) + (1 - label) * np.log(1 - p)).sum() - 5e-4 * w @ w
+        if fit > best[0]:
+            best = (fit, float(w[0] / spread), float(w[1] - w[0] * mean / spread), floor)
+    return best[1:]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -202,17 +239,17 @@ def _worst(weights: np.ndarray, most_cached: int = 400_000):
 
 
 class ToxicityModel:
-    """A trained machine: triple weights, and slope and offset of the probability."""
+    """A trained machine: triple weights, and slope, offset and floor of the probability."""
 
-    def __init__(self, weights: np.ndarray | None, slope: float, offset: float):
-        self.weights, self.slope, self.offset = weights, slope, offset
+    def __init__(self, weights: np.ndarray | None, slope: float, offset: float, floor: float = 0.0):
+        self.weights, self.slope, self.offset, self.floor = weights, slope, offset, floor
 
     def score(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
         """doc_id and ``score`` (0 to 1) of every row; a null text counts as an empty one."""
         rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
         if self.weights is None:
             return rows.select("doc_id", F.lit(1 / (1 + np.exp(-self.offset))).alias("score"))
-        weights, slope, offset = self.weights, self.slope, self.offset
+        weights, slope, offset, floor = self.weights, self.slope, self.offset, self.floor
 
         def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             worst = _worst(weights)
@@ -220,17 +257,20 @@ class ToxicityModel:
                 for s in range(0, batch.num_rows, 500):
                     part = batch.slice(s, 500)
                     high = np.maximum(worst(part.column("text").to_pylist()), -3.0)
-                    p = 1 / (1 + np.exp(-np.clip(slope * high + offset, -30, 30)))
+                    # below the step the floor still rises a little, which keeps the order of texts
+                    p = floor / (1 + np.exp(-high)) + (1 - floor) / (1 + np.exp(-np.clip(slope * high + offset, -300, 300)))
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(p)], ["doc_id", "score"])
 
         return rows.mapInArrow(scored, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 8_000, max_words: int = 40_000, n_landmarks: int = 192) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 8_000, max_words: int = 32_000, n_landmarks: int = 192, mining: int = 2) -> ToxicityModel:
     """Train on labelled documents that aren't held out.
 
     ``max_docs`` labels, those with the smallest hash of their doc_id, make the sample, and
-    its ``max_words`` most frequent words the words that are trained on. Contradicting labels
+    its ``max_words`` most frequent words the words that are trained on; ``mining`` times the
+    ``max_words // 8`` words that score highest though no more toxic than other documents hold
+    them join as hard ones. Contradicting labels
     of one doc_id count as toxic; null labels don't count. Where the sample lacks a label the
     model gives every text the share of toxic ones.
     """
@@ -251,18 +291,24 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 8_000, max_words: in
     if not n_pos or not n_neg:
         return ToxicityModel(None, 0.0, float(np.log((n_pos + 0.5) / (n_neg + 0.5))) if n_pos + n_neg else -30.0)
     words = sample.select("text", "label").mapInArrow(words_of, "word string, label int").groupBy("word")
-    words = words.agg(F.sum(F.col("label")).alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
-    top = words.orderBy((F.col("pos") / n_pos + F.col("neg") / n_neg).desc(), "word").limit(max_words).collect()
-    if not top:
-        return ToxicityModel(None, 0.0, float(np.log((n_pos + 0.5) / (n_neg + 0.5))))
-    pos, neg = (np.array([r[k] for r in top], float) for k in ("pos", "neg"))
-    if not pos.sum() or not neg.sum():
+    words = staged(words.agg(F.sum(F.col("label")).alias("pos"), F.sum(1 - F.col("label")).alias("neg")), "toxic-words")
+    rows = {r["word"]: r for r in words.orderBy((F.col("pos") / n_pos + F.col("neg") / n_neg).desc(), "word").limit(max_words).collect()}
+    if not any(r["pos"] for r in rows.values()) or not any(r["neg"] for r in rows.values()):
         return ToxicityModel(None, 0.0, float(np.log((n_pos + 0.5) / (n_neg + 0.5))))
-    weights = train_machine([r["word"] for r in top], pos / n_pos, neg / n_neg, n_landmarks)
+    hard: set[str] = set()
+    for again in range(mining + 1):
+        found = sorted(rows.values(), key=lambda r: r["word"])
+        pos, neg = (np.array([r[k] for r in found], float) for k in ("pos", "neg"))
+        weights = train_machine([r["word"] for r in found], pos, neg, n_pos, n_neg, n_landmarks, np.array([r["word"] in hard for r in found]))
+        if again < mining:
+            scored = words.filter("neg > 0 and neg >= pos").withColumnRenamed("word", "text").withColumn("doc_id", F.struct("text", "pos", "neg"))
+            high = ToxicityModel(weights, 1.0, 0.0).score(scored).orderBy(F.col("score").desc(), "doc_id.text").limit(max_words // 8)
+            for r in high.select("doc_id.text", "doc_id.pos", "doc_id.neg").withColumnRenamed("text", "word").collect():
+                rows[r["word"]] = r
+                hard.add(r["word"])
     raw = ToxicityModel(weights, 1.0, 0.0).score(sample).join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("score", "label").collect()
-    p = np.clip(np.array([r["score"] for r in raw]), 1e-12, 1 - 1e-12)
-    slope, offset = fit_logistic(np.log(p / (1 - p)), np.array([float(r["label"]) for r in raw]))
-    return ToxicityModel(weights, slope, offset)
+    p = np.array([r["score"] for r in raw])
+    return ToxicityModel(weights, *fit_logistic(np.log(p / (1 - p)), np.array([float(r["label"]) for r in raw])))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
