@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rowloom.llm.common import staged
 
@@ -244,11 +245,11 @@ class ToxicityModel:
     def __init__(self, weights: np.ndarray | None, slope: float, offset: float, floor: float = 0.0):
         self.weights, self.slope, self.offset, self.floor = weights, slope, offset, floor
 
-    def score(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-        """doc_id and ``score`` (0 to 1) of every row; a null text counts as an empty one."""
-        rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    def append(self, docs: DataFrame, text: str = "text", name: str = "score") -> DataFrame:
+        """``docs`` with the score, 0 to 1, of every row as column ``name``; a null text counts as an empty one."""
+        docs = docs.drop(name)
         if self.weights is None:
-            return rows.select("doc_id", F.lit(1 / (1 + np.exp(-self.offset))).alias("score"))
+            return docs.withColumn(name, F.lit(float(1 / (1 + np.exp(-self.offset)))))
         weights, slope, offset, floor = self.weights, self.slope, self.offset, self.floor
 
         def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,12 +257,16 @@ class ToxicityModel:
             for batch in batches:
                 for s in range(0, batch.num_rows, 500):
                     part = batch.slice(s, 500)
-                    high = np.maximum(worst(part.column("text").to_pylist()), -3.0)
+                    high = np.maximum(worst(part.column(text).to_pylist()), -3.0)
                     # below the step the floor still rises a little, which keeps the order of texts
                     p = floor / (1 + np.exp(-high)) + (1 - floor) / (1 + np.exp(-np.clip(slope * high + offset, -300, 300)))
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(p)], ["doc_id", "score"])
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p)], [*part.schema.names, name])
+
+        return docs.mapInArrow(scored, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
-        return rows.mapInArrow(scored, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
+    def score(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+        """doc_id and ``score`` of every row."""
+        return self.append(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).select("doc_id", "score")
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 8_000, max_words: int = 32_000, n_landmarks: int = 192, mining: int = 2) -> ToxicityModel:
