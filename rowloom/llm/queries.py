@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm import lines, mixing, pieces, pii, secrets, simhash, toxicity
+from rowloom.llm import lines, media, mixing, pieces, pii, secrets, simhash, toxicity
 from rowloom.llm.common import staged, table, word_count
 
 
@@ -25,6 +25,13 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = media.read_avi(media.to_avi(table(spark, sf_dir, "documents")))
+    clip = lambda c: F.concat(c["start_ms"], F.lit("-"), c["end_ms"], F.lit(":"), F.format_number(c["mean"], 2))
+    feature = F.concat(F.lit("shots="), F.size("clips"), F.lit(";"), F.array_join(F.transform("clips", clip), ","))
+    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+
+
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.sample_pieces(table(spark, sf_dir, "documents"))
 
@@ -42,5 +49,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op10_toxicity": op10_toxicity, "op1_simhash": op1_simhash, "op4_pieces": op4_pieces, "op5_pii": op5_pii, "op9_secrets": op9_secrets, "op6_mixing": op6_mixing, "op8_line_dedup": op8_line_dedup}
+QUERIES = {"op10_toxicity": op10_toxicity, "op1_simhash": op1_simhash, "op3_media": op3_media, "op4_pieces": op4_pieces, "op5_pii": op5_pii, "op9_secrets": op9_secrets, "op6_mixing": op6_mixing, "op8_line_dedup": op8_line_dedup}
 ORACLES = {"op6_mixing": mixing.MIX_SQL, "op8_line_dedup": lines.LINES_SQL}
