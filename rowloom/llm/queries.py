@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm import lines, media, mixing, pieces, pii, secrets, simhash, toxicity
+from rowloom.llm import ann, lines, media, mixing, pieces, pii, quality, secrets, simhash, toxicity
 from rowloom.llm.common import staged, table, word_count
 
 
@@ -15,6 +15,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lines.dedup_lines(docs).select("doc_id", "text", "n_lines", "n_removed")
@@ -25,6 +29,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = media.read_avi(media.to_avi(table(spark, sf_dir, "documents")))
     clip = lambda c: F.concat(c["start_ms"], F.lit("-"), c["end_ms"], F.lit(":"), F.format_number(c["mean"], 2))
@@ -49,5 +57,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op10_toxicity": op10_toxicity, "op1_simhash": op1_simhash, "op3_media": op3_media, "op4_pieces": op4_pieces, "op5_pii": op5_pii, "op9_secrets": op9_secrets, "op6_mixing": op6_mixing, "op8_line_dedup": op8_line_dedup}
+QUERIES = {"op10_toxicity": op10_toxicity, "op1_simhash": op1_simhash, "op2_quality": op2_quality, "op3_media": op3_media, "op4_pieces": op4_pieces, "op5_pii": op5_pii, "op9_secrets": op9_secrets, "op6_mixing": op6_mixing, "op7_nearest": op7_nearest, "op8_line_dedup": op8_line_dedup}
 ORACLES = {"op6_mixing": mixing.MIX_SQL, "op8_line_dedup": lines.LINES_SQL}
