@@ -5,8 +5,8 @@ that spans more letters weighs less, so a word with an inserted letter keeps mos
 triples. Landmarks are words of the training sample; a linear machine is trained on the Nyström
 features of the sample's words, weighted by how often documents of either label hold them. As
 those features are linear in the triples, the trained machine folds into one weight per triple,
-and a word is scored by looking its triples up. A document scores as its worst word, turned
-into a probability by a logistic fit on the training documents.
+and a word is scored by looking its triples up. A document's four worst words
+make its probability, by a logistic fit on the training documents.
 """
 
 from __future__ import annotations
@@ -187,28 +187,43 @@ def train_machine(words: list[str], pos: np.ndarray, neg: np.ndarray, n_pos: int
     return weights
 
 
-def fit_logistic(score: np.ndarray, label: np.ndarray) -> tuple[float, float, float]:
-    """Slope, offset and floor of the probability: toxic labels without a toxic word are a floor, not a reason for a flat slope.
+def fit_logistic(x: np.ndarray, label: np.ndarray, ridge: float = 0.03) -> tuple[np.ndarray, float, float]:
+    """Slopes, offset and floor of the probability: toxic labels without a toxic word are a floor, not a reason for flat slopes.
 
-    Fisher scoring for each floor of a short list; the likeliest wins.
+    Fisher scoring on standardised features for each floor of a short list; the likeliest wins.
     """
-    mean, spread = score.mean(), score.std() + 1e-9
-    score = (score - mean) / spread
-    x = np.stack([score, np.ones_like(score)], 1)
-    best = (-np.inf, 0.0, 0.0, 0.0)
-    for floor in (0.0, 0.01, 0.02, 0.03, 0.05, 0.08, 0.12):
-        middle = np.quantile(score, 1 - label.mean())
-        w = np.array([1.0, -middle])
+    mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-6
+    z = np.hstack([(x - mean) / spread, np.ones((len(x), 1))])
+    hold = np.full(z.shape[1], ridge)
+    hold[-1] = 1e-4
+
+    def climb(floor: float, use: np.ndarray) -> tuple[float, np.ndarray]:
+        w = np.where(np.arange(len(hold)) == 0, 1.0, 0.0)
+        w[-1] = -np.quantile(z[:, 0], 1 - label.mean())
+        v, keep, w = z[:, use], hold[use], w[use]
         for _ in range(200):
-            q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            q = 1 / (1 + np.exp(-np.clip(v @ w, -30, 30)))
             p = np.clip(floor + (1 - floor) * q, 1e-6, 1 - 1e-6)
             d = (1 - floor) * q * (1 - q)
-            info = (x.T * (d * d / (p * (1 - p)))) @ x + 1e-3 * np.eye(2)
-            move = np.linalg.solve(info, x.T @ ((label - p) * d / (p * (1 - p))) - 1e-3 * w)
+            info = (v.T * (d * d / (p * (1 - p)))) @ v + np.diag(keep)
+            move = np.linalg.solve(info, v.T @ ((label - p) * d / (p * (1 - p))) - keep * w)
             w = w + move * min(1.0, 0.5 / max(1e-9, np.abs(move).max()))
-        fit = (label * np.log(p) + (1 - label) * np.log(1 - p)).sum() - 5e-4 * w @ w
+        out = np.zeros(len(hold))
+        out[use] = w
+        return (label * np.log(p) + (1 - label) * np.log(1 - p)).sum() - 0.5 * (keep * w) @ w, out
+
+    best = (-np.inf, np.zeros(x.shape[1]), 0.0, 0.0)
+    for floor in (0.0, 0.01, 0.02, 0.03, 0.05, 0.08, 0.12):
+        use = np.ones(len(hold), bool)
+        while True:  # a worse word never lowers the probability: features with negative slopes go
+            fit, w = climb(floor, use)
+            wrong = w[:-1] < 0
+            if not wrong.any():
+                break
+            use[:-1] &= ~wrong
         if fit > best[0]:
-            best = (fit, float(w[0] / spread), float(w[1] - w[0] * mean / spread), floor)
+            slopes = w[:-1] / spread
+            best = (fit, slopes, float(w[-1] - slopes @ mean), floor)
     return best[1:]
 
 
@@ -216,8 +231,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
+LOWEST = -3.0
+TOP = 4
+
+
 def _worst(weights: np.ndarray, most_cached: int = 400_000):
-    """A function from texts to the highest score of a word, with the scores of tokens kept."""
+    """A function from texts to the ``TOP`` highest scores of their tokens, highest first, with the scores of tokens kept."""
     cache: dict[str, float] = {}
 
     def worst(texts: list[str | None]) -> np.ndarray:
@@ -234,32 +253,45 @@ def _worst(weights: np.ndarray, most_cached: int = 400_000):
             for token, ps in zip(some, parts, strict=True):
                 cache[token] = max(scores[at : at + len(ps)], default=-9.0)
                 at += len(ps)
-        return np.array([max(map(cache.__getitem__, tokens), default=-9.0) for tokens in sets])
+        out = np.full((len(texts), TOP), LOWEST)
+        for row, tokens in zip(out, sets, strict=True):
+            scores = np.fromiter(map(cache.__getitem__, tokens), float, len(tokens))
+            high = np.sort(np.partition(scores, -TOP)[-TOP:] if len(scores) > TOP else scores)[::-1]
+            row[: len(high)] = np.maximum(high, LOWEST)
+        return out
 
     return worst
 
 
+def evidence(high: np.ndarray, usual: float) -> np.ndarray:
+    """Features of a document: its highest scores, and by how much the first passes the usual."""
+    return np.hstack([high, np.maximum(0, high[:, :1] - usual)])
+
+
 class ToxicityModel:
-    """A trained machine: triple weights, and slope, offset and floor of the probability."""
+    """A trained machine: triple weights, and slopes, offset and floor of the probability.
+
+    ``usual`` is the score that the worst word of hardly any clean document passes.
+    """
 
-    def __init__(self, weights: np.ndarray | None, slope: float, offset: float, floor: float = 0.0):
-        self.weights, self.slope, self.offset, self.floor = weights, slope, offset, floor
+    def __init__(self, weights: np.ndarray | None, slopes: np.ndarray | None, offset: float, floor: float = 0.0, usual: float = 0.0):
+        self.weights, self.slopes, self.offset, self.floor, self.usual = weights, slopes, offset, floor, usual
 
     def append(self, docs: DataFrame, text: str = "text", name: str = "score") -> DataFrame:
         """``docs`` with the score, 0 to 1, of every row as column ``name``; a null text counts as an empty one."""
         docs = docs.drop(name)
         if self.weights is None:
             return docs.withColumn(name, F.lit(float(1 / (1 + np.exp(-self.offset)))))
-        weights, slope, offset, floor = self.weights, self.slope, self.offset, self.floor
+        weights, slopes, offset, floor, usual = self.weights, self.slopes, self.offset, self.floor, self.usual
 
         def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             worst = _worst(weights)
             for batch in batches:
                 for s in range(0, batch.num_rows, 500):
                     part = batch.slice(s, 500)
-                    high = np.maximum(worst(part.column(text).to_pylist()), -3.0)
+                    high = worst(part.column(text).to_pylist())
                     # below the step the floor still rises a little, which keeps the order of texts
-                    p = floor / (1 + np.exp(-high)) + (1 - floor) / (1 + np.exp(-np.clip(slope * high + offset, -300, 300)))
+                    p = floor / (1 + np.exp(-high[:, 0])) + (1 - floor) / (1 + np.exp(-np.clip(evidence(high, usual) @ slopes + offset, -300, 300)))
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p)], [*part.schema.names, name])
 
         return docs.mapInArrow(scored, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
@@ -294,12 +326,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 8_000, max_words: in
     counts = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n_pos, n_neg = counts.get(1, 0), counts.get(0, 0)
     if not n_pos or not n_neg:
-        return ToxicityModel(None, 0.0, float(np.log((n_pos + 0.5) / (n_neg + 0.5))) if n_pos + n_neg else -30.0)
+        return ToxicityModel(None, None, float(np.log((n_pos + 0.5) / (n_neg + 0.5))) if n_pos + n_neg else -30.0)
     words = sample.select("text", "label").mapInArrow(words_of, "word string, label int").groupBy("word")
     words = staged(words.agg(F.sum(F.col("label")).alias("pos"), F.sum(1 - F.col("label")).alias("neg")), "toxic-words")
     rows = {r["word"]: r for r in words.orderBy((F.col("pos") / n_pos + F.col("neg") / n_neg).desc(), "word").limit(max_words).collect()}
     if not any(r["pos"] for r in rows.values()) or not any(r["neg"] for r in rows.values()):
-        return ToxicityModel(None, 0.0, float(np.log((n_pos + 0.5) / (n_neg + 0.5))))
+        return ToxicityModel(None, None, float(np.log((n_pos + 0.5) / (n_neg + 0.5))))
     hard: set[str] = set()
     for again in range(mining + 1):
         found = sorted(rows.values(), key=lambda r: r["word"])
@@ -307,13 +339,21 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 8_000, max_words: in
         weights = train_machine([r["word"] for r in found], pos, neg, n_pos, n_neg, n_landmarks, np.array([r["word"] in hard for r in found]))
         if again < mining:
             scored = words.filter("neg > 0 and neg >= pos").withColumnRenamed("word", "text").withColumn("doc_id", F.struct("text", "pos", "neg"))
-            high = ToxicityModel(weights, 1.0, 0.0).score(scored).orderBy(F.col("score").desc(), "doc_id.text").limit(max_words // 8)
+            high = ToxicityModel(weights, np.array([1.0] + [0.0] * TOP), 0.0).score(scored).orderBy(F.col("score").desc(), "doc_id.text").limit(max_words // 8)
             for r in high.select("doc_id.text", "doc_id.pos", "doc_id.neg").withColumnRenamed("text", "word").collect():
                 rows[r["word"]] = r
                 hard.add(r["word"])
-    raw = ToxicityModel(weights, 1.0, 0.0).score(sample).join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("score", "label").collect()
-    p = np.array([r["score"] for r in raw])
-    return ToxicityModel(weights, *fit_logistic(np.log(p / (1 - p)), np.array([float(r["label"]) for r in raw])))
+
+    def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worst = _worst(weights)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(list(worst(batch.column("text").to_pylist()))), batch.column("label")], ["high", "label"])
+
+    raw = sample.select("text", "label").mapInArrow(tops, "high array<double>, label int").collect()
+    raw.sort(key=lambda r: (r["high"], r["label"]))
+    high, label = np.array([r["high"] for r in raw]), np.array([float(r["label"]) for r in raw])
+    usual = float(np.quantile(high[label == 0, 0], 0.99))
+    return ToxicityModel(weights, *fit_logistic(evidence(high, usual), label), usual)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
