@@ -167,33 +167,48 @@ def fit(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, max_docs: int =
     sample = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("text", "grade")
     sample = staged(sample, "rated-sample").repartition(8)
 
-    def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """4-gram frequencies, shapes and grades of up to 100 documents at a time."""
         for batch in batches:
             for s in range(0, batch.num_rows, 100):
                 part = batch.slice(s, 100)
                 code, bounds, shape = features(part.column("text").to_pylist())
-                rows = [(np.bincount(code[a:b], minlength=SIZE) / (b - a)).astype(np.float32).tobytes() for a, b in bounds]
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array([r.tobytes() for r in shape], pa.binary()), part.column("grade")], ["gram", "shape", "grade"])
-
-    rows = sample.mapInArrow(table, "gram binary, shape binary, grade int").collect()
-    rows = [r for r in rows if 0 <= r["grade"] < n_grades]
-    if not rows:
+                yield np.stack([np.bincount(code[a:b], minlength=SIZE) / (b - a) for a, b in bounds]), shape, part.column("grade").to_numpy()
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, SIZE))
+        for gram, _, grade in blocks(batches):
+            total += np.stack([gram.sum(axis=0), (gram**2).sum(axis=0), grade @ gram, np.full(SIZE, len(gram))])
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
+
+    # one row from each of the few partitions; it says which classes tell most
+    sample = sample.filter(F.col("grade").between(0, n_grades - 1))
+    totals = sorted(bytes(r["total"]) for r in sample.mapInArrow(sums, "total binary").collect())
+    add, square, by_grade, n = sum((np.frombuffer(t).reshape(4, SIZE) for t in totals), np.zeros((4, SIZE)))
+    if not n[0]:
         return None
-    rows.sort(key=lambda r: (r["grade"], bytes(r["gram"]), bytes(r["shape"])))
-    grade = np.array([r["grade"] for r in rows])
-    gram = np.stack([np.frombuffer(r["gram"], np.float32) for r in rows])
-    shape = np.stack([np.frombuffer(r["shape"]) for r in rows])
+    gram_mean = add / n
+    scale = 1 / (np.sqrt(np.maximum(0, square / n - gram_mean**2)) + 1e-4)
+    graded = {r["grade"]: r["n"] for r in sample.groupBy("grade").agg(F.count("*").alias("n")).collect()}
+    telling = np.abs(by_grade - gram_mean * sum(g * c for g, c in graded.items())) * scale
+    chosen = np.sort(np.argsort(-np.round(telling, 9), kind="stable")[:512])
+
+    def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for gram, shape, grade in blocks(batches):
+            rows = [r.tobytes() for r in np.hstack([shape, gram[:, chosen]]).astype(np.float32)]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(grade, pa.int32())], ["x", "grade"])
+
+    rows = sorted((r["grade"], bytes(r["x"])) for r in sample.mapInArrow(table, "x binary, grade int").collect())
+    grade = np.array([g for g, _ in rows])
+    values = np.stack([np.frombuffer(x, np.float32) for _, x in rows]).astype(float)
+    shape, gram = values[:, : len(SHAPES)], values[:, len(SHAPES) :]
     mean, spread = shape.mean(axis=0), shape.std(axis=0) + 1e-6
-    scale = 1 / (gram.std(axis=0) + 1e-4)
-    centred = (gram - gram.mean(axis=0)) * scale
-    telling = np.abs(centred.T @ (grade - grade.mean()))
-    chosen = np.argsort(-telling, kind="stable")[:512]
-    x = np.hstack([np.clip((shape - mean) / spread, -6, 6), centred[:, chosen]])
+    x = np.hstack([np.clip((shape - mean) / spread, -6, 6), (gram - gram_mean[chosen]) * scale[chosen]])
     penalty = np.concatenate([np.full(shape.shape[1], 0.1), np.full(len(chosen), per_gram)])
     w, thresholds = fit_ordinal(x, grade, n_grades, penalty)
     weights = np.zeros(SIZE, np.float32)
     weights[chosen] = w[shape.shape[1] :] * scale[chosen]
-    thresholds = thresholds + (gram.mean(axis=0) * weights).sum()
+    thresholds = thresholds + (gram_mean * weights).sum()
     return OrdinalModel(weights, w[: shape.shape[1]], mean, spread, thresholds)
 
 
