@@ -2,7 +2,8 @@
 
 The kernel compares words by the letter triples that they hold in order, gaps allowed: a triple
 that spans more letters weighs less, so a word with an inserted letter keeps most of its
-triples. Landmarks are words of the training sample; a linear machine is trained on the Nyström
+triples. Words that toxic documents hold far beyond chance count for being themselves
+besides. Landmarks are words of the training sample; a linear machine is trained on the Nyström
 features of the sample's words, weighted by how often documents of either label hold them. As
 those features are linear in the triples, the trained machine folds into one weight per triple,
 and a word is scored by looking its triples up. A document's four worst words
@@ -235,7 +236,19 @@ LOWEST = -3.0
 TOP = 4
 
 
-def _worst(weights: np.ndarray, most_cached: int = 400_000):
+def witnesses(words: list[str], pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> dict[str, float]:
+    """What a word adds to its score for being itself: the identity kernel on words that toxic documents hold far beyond chance.
+
+    Up to 1, by the logarithm of the odds and by how many documents speak for it.
+    """
+    expected = neg * n_pos / n_neg
+    z = (pos - expected) / np.sqrt(expected + 1)
+    odds = np.log(((pos + 0.5) / n_pos) / ((neg + 0.5) / n_neg))
+    worth = np.clip(odds / 4, 0, 1) * pos / (pos + 3)
+    return {words[i]: float(worth[i]) for i in np.flatnonzero(z >= 4)}
+
+
+def _worst(weights: np.ndarray, known: dict[str, float], most_cached: int = 400_000):
     """A function from texts to the ``TOP`` highest scores of their tokens, highest first, with the scores of tokens kept."""
     cache: dict[str, float] = {}
 
@@ -248,7 +261,7 @@ def _worst(weights: np.ndarray, most_cached: int = 400_000):
             some = new[s : s + 20_000]
             parts = [parts_of(t) for t in some]
             flat = [p for ps in parts for p in ps]
-            scores = word_scores(flat, weights).tolist()
+            scores = [a + known.get(p, 0.0) for a, p in zip(word_scores(flat, weights).tolist(), flat, strict=True)]
             at = 0
             for token, ps in zip(some, parts, strict=True):
                 cache[token] = max(scores[at : at + len(ps)], default=-9.0)
@@ -274,18 +287,18 @@ class ToxicityModel:
     ``usual`` is the score that the worst word of hardly any clean document passes.
     """
 
-    def __init__(self, weights: np.ndarray | None, slopes: np.ndarray | None, offset: float, floor: float = 0.0, usual: float = 0.0):
-        self.weights, self.slopes, self.offset, self.floor, self.usual = weights, slopes, offset, floor, usual
+    def __init__(self, weights: np.ndarray | None, slopes: np.ndarray | None, offset: float, floor: float = 0.0, usual: float = 0.0, known: dict[str, float] | None = None):
+        self.weights, self.slopes, self.offset, self.floor, self.usual, self.known = weights, slopes, offset, floor, usual, known or {}
 
     def append(self, docs: DataFrame, text: str = "text", name: str = "score") -> DataFrame:
         """``docs`` with the score, 0 to 1, of every row as column ``name``; a null text counts as an empty one."""
         docs = docs.drop(name)
         if self.weights is None:
             return docs.withColumn(name, F.lit(float(1 / (1 + np.exp(-self.offset)))))
-        weights, slopes, offset, floor, usual = self.weights, self.slopes, self.offset, self.floor, self.usual
+        weights, slopes, offset, floor, usual, known = self.weights, self.slopes, self.offset, self.floor, self.usual, self.known
 
         def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            worst = _worst(weights)
+            worst = _worst(weights, known)
             for batch in batches:
                 for s in range(0, batch.num_rows, 500):
                     part = batch.slice(s, 500)
@@ -343,9 +356,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 8_000, max_words: in
             for r in high.select("doc_id.text", "doc_id.pos", "doc_id.neg").withColumnRenamed("text", "word").collect():
                 rows[r["word"]] = r
                 hard.add(r["word"])
+    own = witnesses([r["word"] for r in found], pos, neg, n_pos, n_neg)
 
     def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worst = _worst(weights)
+        worst = _worst(weights, own)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(list(worst(batch.column("text").to_pylist()))), batch.column("label")], ["high", "label"])
 
@@ -353,7 +367,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 8_000, max_words: in
     raw.sort(key=lambda r: (r["high"], r["label"]))
     high, label = np.array([r["high"] for r in raw]), np.array([float(r["label"]) for r in raw])
     usual = float(np.quantile(high[label == 0, 0], 0.99))
-    return ToxicityModel(weights, *fit_logistic(evidence(high, usual), label), usual)
+    return ToxicityModel(weights, *fit_logistic(evidence(high, usual), label), usual, own)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
