@@ -232,19 +232,19 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-LOWEST = -3.0
+LOWEST = 0.0  # also stands for the words that a short text lacks
 TOP = 4
 
 
 def witnesses(words: list[str], pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> dict[str, float]:
     """What a word adds to its score for being itself: the identity kernel on words that toxic documents hold far beyond chance.
 
-    Up to 1, by the logarithm of the odds and by how many documents speak for it.
+    Up to 2, by the logarithm of the odds and by how many documents speak for it.
     """
     expected = neg * n_pos / n_neg
     z = (pos - expected) / np.sqrt(expected + 1)
     odds = np.log(((pos + 0.5) / n_pos) / ((neg + 0.5) / n_neg))
-    worth = np.clip(odds / 4, 0, 1) * pos / (pos + 3)
+    worth = 2 * np.clip(odds / 8, 0, 1) * pos / (pos + 3)
     return {words[i]: float(worth[i]) for i in np.flatnonzero(z >= 4)}
 
 
@@ -366,7 +366,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 8_000, max_words: in
     raw = sample.select("text", "label").mapInArrow(tops, "high array<double>, label int").collect()
     raw.sort(key=lambda r: (r["high"], r["label"]))
     high, label = np.array([r["high"] for r in raw]), np.array([float(r["label"]) for r in raw])
-    usual = float(np.quantile(high[label == 0, 0], 0.99))
+    usual = float(np.quantile(high[label == 0, 0], 0.998))
     return ToxicityModel(weights, *fit_logistic(evidence(high, usual), label), usual, own)
 
 
