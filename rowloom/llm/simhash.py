@@ -29,19 +29,24 @@ _WORDS = re.compile(WORD)
 _LOWER = bytes(i + 32 if ord("A") <= i <= ord("Z") else i for i in range(256))
 
 
-def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
-    """SimHash of the whole text's word shingles, repeats included; 0 without words."""
+def shingle_hashes(text: str | None, shingle: int = 4, seed: int = 42) -> np.ndarray:
+    """Hashes of the whole text's word shingles, repeats included; none without words, one of the whole text where it is short."""
     words = _WORDS.findall(text or "")
-    if not words:
-        return 0
     body = " ".join(words).encode("utf-8", "surrogatepass").translate(_LOWER)
+    digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(body, seed)
+        return np.array([digest(body, seed)] if words else [], dtype=">u8")
     gaps = np.flatnonzero(np.frombuffer(body, np.uint8) == 32).tolist()
     starts = [0, *[g + 1 for g in gaps]]
     ends = [*gaps, len(body)][shingle - 1 :]
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(body[s:e], seed) for s, e in zip(starts, ends, strict=False)], dtype=">u8")
+    return np.array([digest(body[s:e], seed) for s, e in zip(starts, ends, strict=False)], dtype=">u8")
+
+
+def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
+    """SimHash of the whole text's word shingles, repeats included; 0 without words."""
+    hashes = shingle_hashes(text, shingle, seed)
+    if not len(hashes):
+        return 0
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
@@ -138,10 +143,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return prints.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """``docs`` with one document of each group, that with the smallest doc_id (null first), and one of rows that are alike."""
+def keep_one(docs: DataFrame, shingle: int = 5, near=near_duplicates) -> DataFrame:
+    """``docs`` with one document of each group, that with the smallest doc_id (null first), and one of rows that are alike; ``near`` finds the groups."""
     keyed = docs.withColumn("_rl_row", F.struct("doc_id", F.xxhash64(*docs.columns).alias("row")))
-    found = near_duplicates(keyed, doc_id="_rl_row", shingle=shingle)
+    found = near(keyed, doc_id="_rl_row", shingle=shingle)
     first = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_rl_first")).distinct()
     kept = keyed.join(first, F.col("_rl_row") == F.col("_rl_first"), "left_semi")
     return kept.dropDuplicates(["_rl_row"]).drop("_rl_row")
