@@ -131,16 +131,36 @@ def gated_pool(queries: DataFrame, rows: DataFrame, gate: str, least: int = 10)
     return joined.withColumn("gate", F.when(F.col("pool") > least, F.col(gate))).drop("_g")
 
 
-def similar_names(names: DataFrame, name: str, key: Column, least: float, similarity) -> DataFrame:
-    """For each different name key its most similar other key that shares a character pair at the same end: name_a, name_b, similarity.
+def dice_tokens(key: Column) -> Column:
+    """Characters of which two keys share one if the Dice coefficient of their character sets is 0.8 or more.
 
-    Keys meet where their first or last two characters agree and their lengths differ by a
-    fifth or less; pairs are compared once. Only different keys meet.
+    Such sets share two thirds of either or more, so the first third and one of each, in one
+    order for all keys, have a character in common (prefix filter).
+    """
+    letters = F.array_distinct(F.filter(F.split(key, ""), lambda c: c != ""))
+    return F.slice(F.reverse(F.array_sort(letters)), F.lit(1), F.size(letters) - F.ceil(F.size(letters) * 2 / 3).cast("int") + 1)
+
+
+def like_tokens(key: Column) -> Column:
+    """Numbered characters of which two keys share one if their name similarity is 0.7 or more.
+
+    With c characters in common, repeats counted, the edit distance is at least the longer
+    length less c. At 0.7 that makes c more than 0.66 of either length.
+    """
+    letters = F.filter(F.split(key, ""), lambda c: c != "")
+    bag = F.transform(letters, lambda c, i: F.concat(c, F.size(F.filter(F.slice(letters, F.lit(1), i + 1), lambda x: x == c)).cast("string")))
+    return F.slice(F.reverse(F.array_sort(bag)), F.lit(1), F.size(bag) - F.ceil(F.size(bag) * 0.66).cast("int") + 1)
+
+
+def similar_names(names: DataFrame, name: str, key: Column, least: float, similarity, tokens) -> DataFrame:
+    """Every pair of different name keys whose similarity is ``least`` or more: name_a, name_b, similarity.
+
+    ``tokens`` makes of a key the values of which any such pair shares one; keys meet on them
+    and pairs are compared once.
     """
     keys = names.select(key.alias("name_key")).filter("name_key <> ''").distinct()
-    ends = F.array(F.concat(F.lit("^"), F.substring("name_key", 1, 2)), F.concat(F.lit("$"), F.expr("right(name_key, 2)")))
-    met = keys.select("name_key", F.length("name_key").alias("n"), F.explode(ends).alias("end"))
+    met = keys.select("name_key", F.explode(tokens(F.col("name_key"))).alias("token"))
     a, b = met.alias("a"), met.alias("b")
-    near = (F.col("a.end") == F.col("b.end")) & (F.col("a.name_key") < F.col("b.name_key")) & (F.abs(F.col("a.n") - F.col("b.n")) <= 0.2 * F.greatest("a.n", "b.n"))
+    near = (F.col("a.token") == F.col("b.token")) & (F.col("a.name_key") < F.col("b.name_key"))
     pairs = a.join(b, near).select(F.col("a.name_key").alias("name_a"), F.col("b.name_key").alias("name_b")).distinct()
     return pairs.withColumn("similarity", similarity(F.col("name_a"), F.col("name_b"))).filter(F.col("similarity") >= least)

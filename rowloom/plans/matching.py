@@ -295,14 +295,14 @@ def named_parts(spark, sf_dir) -> DataFrame:
 
 @query("fuzzy_name_match", name_pairs_sql(LIKE_SQL, 0.7))
 def fuzzy_name_match(spark, sf_dir):
-    found = match.similar_names(named_parts(spark, sf_dir), "name", text.name_key(F.col("name")), 0.7, text.name_similarity)
+    found = match.similar_names(named_parts(spark, sf_dir), "name", text.name_key(F.col("name")), 0.7, text.name_similarity, match.like_tokens)
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
 @query("dice_similarity", name_pairs_sql(DICE_SQL, 0.8))
 def dice_similarity(spark, sf_dir):
     letters = lambda x: F.array_distinct(F.filter(F.split(x, ""), lambda c: c != ""))
-    found = match.similar_names(named_parts(spark, sf_dir), "name", text.name_key(F.col("name")), 0.8, lambda a, b: numbers.dice(letters(a), letters(b)))
+    found = match.similar_names(named_parts(spark, sf_dir), "name", text.name_key(F.col("name")), 0.8, lambda a, b: numbers.dice(letters(a), letters(b)), match.dice_tokens)
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
