@@ -3,7 +3,7 @@
 Format rules find the base spans. A wider generator proposes key-like tokens. The value of
 every span is hashed, and the hashes are counted over the whole corpus by distinct documents
 (repositories) and distinct sources (owners): a value that several owners hold is a copied
-example, a value of one owner in few documents is a live-looking credential. Base spans
+example, a value of one owner, in however many documents, is a live-looking credential. Base spans
 always stay; a proposed token becomes a span only where its ownership and make-up say that it
 is live.
 """
@@ -42,12 +42,12 @@ def _live_make(value: Column) -> Column:
     return (kinds >= 2) & value.rlike("[0-9]") & (F.size(F.array_distinct(F.split(value, ""))) >= 12)
 
 
-def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", shared_owners: int = 2, live_docs: int = 3) -> DataFrame:
+def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", shared_owners: int = 2) -> DataFrame:
     """One row per row of ``docs``: doc_id, ``base`` and ``spans`` (arrays of start, ord, kind, end, value, owners, docs), ``n_live``, ``n_shared``.
 
     A null text has no spans; a null owner or doc_id counts as one of its own. Values held by
-    ``shared_owners`` or more owners are shared examples; values of fewer owners in at most
-    ``live_docs`` documents are live-looking. Repeated rows each get a result and count once in
+    ``shared_owners`` or more owners are shared examples; values of fewer owners are
+    live-looking, however many copies of a document hold them. Repeated rows each get a result and count once in
     the frequencies (they agree in doc_id and owner). Other columns are ignored. Empty input
     gives no rows.
     """
@@ -70,11 +70,11 @@ def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ow
     owned = spans.groupBy("hash", "owner", "doc_id").agg(F.lit(1).alias("one")).groupBy("hash", "owner").agg(F.count("*").alias("docs"))
     owned = owned.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("docs").alias("docs"))
     judged = spans.select("row", "hash", F.struct("start", "ord", "kind", "end", "value").alias("span")).join(owned, "hash")
-    kept = judged.filter((F.col("span.kind") != "token") | ((F.col("owners") < shared_owners) & (F.col("docs") <= live_docs)))
+    kept = judged.filter((F.col("span.kind") != "token") | (F.col("owners") < shared_owners))
     per_row = kept.groupBy("row").agg(
         F.array_sort(F.collect_list(F.struct("span.start", "span.ord", "span.kind", "span.end", "span.value", "owners", "docs"))).alias("found"),
         F.count_if(F.col("owners") >= shared_owners).alias("n_shared"),
-        F.count_if((F.col("owners") < shared_owners) & (F.col("docs") <= live_docs)).alias("n_live"),
+        F.count_if(F.col("owners") < shared_owners).alias("n_live"),
     )
     out = rows.select("row", "doc_id", "base").join(per_row, "row", "left")
     return out.select(

@@ -100,6 +100,14 @@ def test_ownership(spark):
     assert got[2]["spans"] == ""
 
 
+def test_copies_of_one_owner(spark):
+    """Five copies within one source are one owner's: the token stays live in each."""
+    live = "Zx81kQ9vLm37TyUw02PqRs"
+    data = [(i, f"see {live} here", "a") for i in range(5)]
+    got = secrets.digest(secrets.scan_secrets(spark.createDataFrame(data, "doc_id long, text string, source string"))).collect()
+    assert [(r["spans"], r["n_live"]) for r in got] == [("token:4:26", 1)] * 5
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string, source string")
     assert secrets.scan_secrets(none).count() == 0
