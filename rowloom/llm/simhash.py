@@ -5,9 +5,9 @@ radius of both. A fingerprint of 64 bits has 2,081 variants at two flips, so the
 hashed per half: of two fingerprints at 4 bits or fewer, one half differs in 2 bits or fewer,
 and both emit a common variant of that half among its 33 variants at one flip. Fingerprints
 are shuffled on (half, variant), colliding ones are compared over all 64 bits, and each
-bucket yields a spanning set of its true links. A bucket of more than ``most`` fingerprints
-isn't compared pair by pair: its members emit the whole 64-bit ball, where a shared variant
-is already proof of a link, and each links to the smallest fingerprint at that variant.
+bucket yields a spanning set of its true links, at most one less than it has members. A
+bucket of more than ``most`` fingerprints is first dealt on in the same manner by the half
+that its key leaves open.
 """
 
 from __future__ import annotations
@@ -86,19 +86,24 @@ def half_variants(fps: DataFrame) -> DataFrame:
     return fps.select("fp", F.explode(halves).alias("half")).select("fp", "half", F.explode(flips).alias("flip")).select("fp", F.col("half").bitwiseXOR(F.col("flip")).alias("key"))
 
 
-def whole_variants(fps: DataFrame) -> DataFrame:
-    """The 64-bit ball: every variant at two flips or fewer, 2,081 of a fingerprint: (key, fp)."""
-    bits = F.array(*[F.lit(1 << i) for i in range(63)], F.lit(-(1 << 63)))
-    one = F.transform(bits, lambda m: F.col("fp").bitwiseXOR(m))
-    two = F.flatten(F.transform(bits, lambda m, i: F.transform(F.slice(bits, i + 2, 64), lambda n: F.col("fp").bitwiseXOR(m).bitwiseXOR(n))))
-    return fps.select("fp", F.explode(F.concat(F.array("fp"), one, two)).alias("key"))
+def quarter_variants(crowded: DataFrame) -> DataFrame:
+    """Variants of either 16-bit part of the half that a bucket's key leaves open, at one flip or none: (key, part, fp).
+
+    Two members at 4 bits or fewer differ in one of these parts in 2 or fewer.
+    """
+    other = F.when(F.shiftrightunsigned("key", 32) == 0, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
+    parts = F.array(other.bitwiseAND(F.lit(0xFFFF)), F.shiftrightunsigned(other, 16).bitwiseOR(F.lit(1 << 16)))
+    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(16)])
+    return crowded.select("key", "fp", F.explode(parts).alias("part")).select("key", "fp", "part", F.explode(flips).alias("flip")).select("key", F.col("part").bitwiseXOR(F.col("flip")).alias("part"), "fp")
 
 
-def links(fps: DataFrame, most: int = 256, narrow: int = 2_000_000) -> DataFrame:
+def links(fps: DataFrame, most: int = 65_536, narrow: int = 500_000) -> DataFrame:
     """Links (a, b) between the different fingerprints of ``fps`` that connect all that lie within 4 bits, by chains at least.
 
     Buckets with one member go. The keys of the others are few; they reach the variants by
-    broadcast where fewer than ``narrow`` of them were counted, else by a shuffle join.
+    broadcast where fewer than ``narrow`` of them were counted, else by a shuffle join. A
+    bucket of more than ``most`` members is dealt on by variants of what its key leaves open,
+    which loses no link. Each bucket yields a spanning set of its links.
     """
     variants = half_variants(fps)
     shared = staged(variants.groupBy("key").count().filter("count > 1"), "shared-keys")
@@ -106,7 +111,10 @@ def links(fps: DataFrame, most: int = 256, narrow: int = 2_000_000) -> DataFrame
     if shared.count() < narrow:
         keys = F.broadcast(keys)
     members = staged(variants.join(keys, F.col("key") == F.col("_k")).select("key", "fp", "count"), "bucket-members")
-    buckets = members.filter(F.col("count") <= most).groupBy("key").agg(F.collect_list("fp").alias("fps"))
+    buckets = members.filter(F.col("count") <= most).groupBy("key").agg(F.collect_list("fp").alias("fps")).select("fps")
+    crowded = members.filter(F.col("count") > most)
+    if not crowded.isEmpty():
+        buckets = buckets.union(quarter_variants(crowded).groupBy("key", "part").agg(F.collect_list("fp").alias("fps")).select("fps"))
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,13 +125,7 @@ def links(fps: DataFrame, most: int = 256, narrow: int = 2_000_000) -> DataFrame
             a, b = (np.array(x, np.int64) for x in (zip(*found, strict=True) if found else ((), ())))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    near = buckets.select("fps").mapInArrow(verified, "a long, b long")
-    crowded = members.filter(F.col("count") > most).select("fp").distinct()
-    if crowded.isEmpty():
-        return near
-    ball = whole_variants(crowded)
-    hubs = ball.groupBy("key").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("_k"), "hub")
-    return near.union(ball.join(hubs, F.col("key") == F.col("_k")).filter("fp <> hub").select("hub", "fp"))
+    return buckets.mapInArrow(verified, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4) -> DataFrame:

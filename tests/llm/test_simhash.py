@@ -1,4 +1,4 @@
-"""SimHash components against all pairs; the whole ball against the halves."""
+"""SimHash components against all pairs; crowded buckets against whole ones."""
 
 import random
 
@@ -60,7 +60,7 @@ def test_components(spark):
 
 
 def test_crowded_buckets(spark):
-    """Chains through crowded buckets: the whole ball takes over and links the same groups."""
+    """Chains through crowded buckets: dealt on by the open half, they link the same groups."""
     rnd = random.Random(5)
     fps = {0, (1 << 64) - 1}
     for _ in range(6):
