@@ -4,14 +4,19 @@ Equal vectors are indexed once. Vectors are dealt to shards by their hash. In ea
 extra coordinate makes the largest inner product the smallest distance; the graph starts with
 random edges, greedy searches from a central node propose neighbours for batches of nodes,
 robust pruning keeps a near candidate only where no kept one is much nearer to it, and the
-edges are added in reverse too. Queries in blocks search each shard with a beam, all of a
-block side by side, and the shards' candidates are merged by their exact inner product.
+edges are added in reverse too. Every shard is searched with a beam for every query, a batch
+of queries side by side, and the shards' candidates are merged by their exact inner product.
 """
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,74 +132,120 @@ def build_graph(points: np.ndarray, degree: int, beam: int, alpha: float, seed:
     return edges, entry
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", degree: int = 32, beam: int = 96, alpha: float = 1.2, least_shards: int = 8, shard_size: int = 50_000, block: int = 4_000) -> DataFrame:
-    """query_id, rank, vec_id and score: each query's ``k`` nearest found, its own row left out.
+def nearest(vectors: DataFrame, queries: Column, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", degree: int = 32, beam: int = 96, alpha: float = 1.2, least_shards: int = 8, shard_size: int = 50_000, heavy: int = 10_000) -> DataFrame:
+    """query_id, rank, vec_id, score and query_key: each query's ``k`` nearest found, its own row left out.
 
     queries: which rows of ``vectors`` are queries. Vectors that are null, zero, or hold null or
-    non-finite components take no part. Equal scores rank by vec_id; rows that repeat a vec_id
-    stand apart as candidates, and count as one query where they agree in the vector. Other
-    columns are ignored. Fewer than ``k`` candidates give fewer rows; an empty table gives none.
-    Shards hold about ``shard_size`` vectors, but there are ``least_shards`` at least; a task
-    searches one shard for one block of about ``block`` queries.
+    non-finite components take no part, and vectors of another length than the query's are no
+    candidates of it. Equal scores rank by vec_id, null last. Rows that repeat a vec_id stand apart as
+    candidates; as queries they count once where they agree in the vector, and else have their
+    own results, told apart by query_key, the vector's hash. Other columns are ignored. Fewer than ``k`` candidates give fewer rows; an empty table gives none. Shards hold
+    about ``shard_size`` vectors of one length, but a length has ``least_shards`` shards at least.
+    A task holds one shard at a time and lets the queries pass by in batches. Queries that share
+    one vector are searched once; beyond ``heavy`` of them, their results are dealt to several tasks.
     """
     rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("is_query"))
     rows = staged(rows.filter(usable(F.col("v"))).withColumn("key", F.sha2(F.to_json(F.struct("v")), 256)), "vectors")
     # of equal vectors only the smallest ids can be among the nearest; one more for the query's own
-    same = Window.partitionBy("key").orderBy("vec_id")
+    same = Window.partitionBy("key").orderBy(F.col("vec_id").asc_nulls_last())
     few = rows.withColumn("n", F.row_number().over(same)).filter(F.col("n") <= k + 1)
-    distinct = staged(few.groupBy("key").agg(F.first("v").alias("v"), F.sort_array(F.collect_list("vec_id")).alias("ids")), "distinct-vectors")
-    total = distinct.count()
-    shards = max(least_shards, -(-total // shard_size))
+    in_turn = F.array_sort(F.collect_list(F.struct("n", "vec_id")))
+    held = few.groupBy("key").agg(F.first("v").alias("v"), F.transform(in_turn, lambda x: x["vec_id"]).alias("ids"))
+    held = staged(held.withColumn("dim", F.size("v")), "distinct-vectors")
+    shards = held.groupBy("dim").count().select("dim", F.greatest(F.lit(least_shards), F.ceil(F.col("count") / shard_size)).cast("int").alias("shards"))
     asked = staged(rows.filter("is_query").select("vec_id", "key", "v").dropDuplicates(["vec_id", "key"]), "queries")
-    asked_keys = asked.groupBy("key").agg(F.first("v").alias("v"))
-    blocks = max(1, -(-asked.count() // block))
-    shard = F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")
-    dealt = distinct.select(shard.alias("shard"), "key", "v")
+    shard = F.struct("dim", F.pmod(F.xxhash64("key"), F.col("shards")).cast("int").alias("no"))
+    dealt = held.join(F.broadcast(shards), "dim").select(shard.alias("shard"), "key", "ids", "v")
 
     def index(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("key", ignore_index=True)
+        low = pdf["ids"].map(lambda ids: ids[0])
+        pdf = pdf.iloc[np.lexsort([pdf["key"].to_numpy(str), low.fillna(0).to_numpy(), low.isna().to_numpy()])].reset_index(drop=True)
         edges, entry = build_graph(_augmented(np.stack(pdf["v"].to_numpy())), degree, beam, alpha)
         pdf["node"] = np.arange(len(pdf))
         pdf["edges"] = list(edges)
         pdf["entry"] = entry
-        return pdf[["shard", "node", "key", "v", "edges", "entry"]]
-
-    graph = staged(dealt.groupBy("shard").applyInPandas(index, "shard int, node int, key string, v array<double>, edges array<int>, entry int"), "graph")
-
-    def search(found: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
-        out = {"query": [], "key": [], "score": []}
-        if len(found) and len(ask):
-            found = found.sort_values("node", ignore_index=True)
-            exact, keys = np.stack(found["v"].to_numpy()), found["key"].to_numpy()
-            points, edges = _augmented(exact), np.stack(found["edges"].to_numpy()).astype(np.int32)
-            wanted, names = np.stack(ask["v"].to_numpy()), ask["key"].to_numpy()
-            scaled = (wanted / np.sqrt((wanted**2).sum(axis=1))[:, None]).astype(np.float32)
-            scaled = np.hstack([scaled, np.zeros((len(scaled), 1), np.float32)])
-            size = max(16, 64_000_000 // len(points) // 4)
-            for s in range(0, len(ask), size):
-                nodes = beam_search(points, edges, int(found["entry"][0]), scaled[s : s + size], max(beam, 2 * k))
-                for i, row in enumerate(nodes):
-                    row = row[row >= 0]
-                    score = (exact[row] * wanted[s + i]).sum(axis=1)
-                    best = np.argsort(-score, kind="stable")[: k + 1]
-                    out["query"] += [names[s + i]] * len(best)
-                    out["key"] += keys[row[best]].tolist()
-                    out["score"] += score[best].tolist()
-        kinds = {"query": object, "key": object, "score": np.float64}
-        return pd.DataFrame({c: np.array(out[c], dtype=t) for c, t in kinds.items()})
-
-    part = F.pmod(F.xxhash64("key", F.lit(1)), F.lit(blocks)).cast("int")
-    wanted = asked_keys.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), part.alias("block"), "key", "v")
-    held = graph.select("shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "node", "key", "v", "edges", "entry")
-    found = held.groupBy("shard", "block").cogroup(wanted.groupBy("shard", "block")).applyInPandas(search, "query string, key string, score double")
-    best = Window.partitionBy("query").orderBy(F.col("score").desc(), "key")
-    found = found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1)
-    # vectors at one score may stand in any order here; ids decide below
-    pairs = found.join(distinct.select("key", "ids"), "key").select("query", "score", F.explode("ids").alias("vec_id"))
-    joined = asked.select(F.col("vec_id").alias("query_id"), F.col("key").alias("query")).join(pairs, "query")
-    order = Window.partitionBy("query_id", "query").orderBy(F.col("score").desc(), "vec_id")
-    ranked = joined.filter(~F.col("vec_id").eqNullSafe(F.col("query_id"))).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+        return pdf[["dim", "no", "node", "key", "ids", "v", "edges", "entry"]]
+
+    kind = rows.schema["vec_id"].dataType.simpleString()
+    graph = dealt.select("shard.dim", "shard.no", "key", "ids", "v").groupBy("dim", "no").applyInPandas(index, f"dim int, no int, node int, key string, ids array<{kind}>, v array<double>, edges array<int>, entry int")
+    graph = staged(graph, "graph")
+    asked_of = staged(asked.groupBy("key").agg(F.first("v").alias("v"), F.count("*").alias("n")), "query-vectors")
+    wanted = asked_of.withColumn("dim", F.size("v")).join(F.broadcast(shards), "dim")
+    wanted = wanted.select("dim", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("no"), F.lit(None).cast("int").alias("node"), "key", F.lit(None).cast(f"array<{kind}>").alias("ids"), "v", F.lit(None).cast("array<int>").alias("edges"), F.lit(None).cast("int").alias("entry"))
+    # in each task a shard's nodes come in order, and then the queries that it is asked
+    in_order = graph.union(wanted).repartition("dim", "no").sortWithinPartitions("dim", "no", F.col("node").asc_nulls_last())
+
+    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, nodes, ready = None, [], None
+        for batch in batches:
+            dims, nos = (batch.column(c).to_numpy() for c in ("dim", "no"))
+            cuts = np.flatnonzero((np.diff(dims) != 0) | (np.diff(nos) != 0)) + 1
+            for s, e in itertools.pairwise([0, *cuts.tolist(), batch.num_rows]):
+                if shard != (dims[s], nos[s]):
+                    shard, nodes, ready = (dims[s], nos[s]), [], None
+                part = batch.slice(s, e - s)
+                is_node = part.column("node").is_valid()
+                if (more := part.filter(is_node)).num_rows:
+                    nodes.append(more)
+                asks = part.filter(pc.invert(is_node))
+                if not asks.num_rows or not nodes:
+                    continue
+                if ready is None:
+                    ready = _Shard(pa.Table.from_batches(nodes))
+                    nodes = [None]
+                yield ready.answers(asks, max(beam, 2 * k), k + 1)
+
+    found = in_order.mapInArrow(searched, f"query string, key string, ids array<{kind}>, score double")
+    # of vectors at one score those with the smallest ids come first, so that no smaller id is cut
+    best = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("ids")[0].asc_nulls_last(), "key")
+    pairs = found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1)
+    many = F.broadcast(asked_of.filter(F.col("n") > heavy).select(F.col("key").alias("_k"), F.ceil(F.col("n") / heavy).cast("int").alias("parts")))
+    parts = F.coalesce("parts", F.lit(1))
+    dealt_pairs = pairs.join(many, F.col("query") == F.col("_k"), "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).select("query", "part", "key", "score", F.posexplode("ids").alias("n", "vec_id"))
+    ours = asked.join(many, F.col("key") == F.col("_k"), "left").select(F.col("vec_id").alias("query_id"), F.col("key").alias("query"), F.pmod(F.xxhash64("vec_id"), parts).cast("int").alias("part"))
+    joined = ours.join(dealt_pairs, ["query", "part"])
+    # the query's own row: one row of its vector and id
+    mine = (F.col("key") == F.col("query")) & F.col("vec_id").eqNullSafe(F.col("query_id"))
+    own = Window.partitionBy("query_id", "query", mine).orderBy("n")
+    joined = joined.withColumn("copy", F.row_number().over(own)).filter(~mine | (F.col("copy") > 1))
+    order = Window.partitionBy("query_id", "query").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last())
+    ranked = joined.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score", F.col("query").alias("query_key"))
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array, kind: type) -> np.ndarray:
+    """Lists of one length as rows."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(len(column), -1)
+
+
+class _Shard:
+    """A shard's graph, held while its queries pass by."""
+
+    def __init__(self, nodes: pa.Table):
+        self.exact = _matrix(nodes.column("v"), np.float64)
+        self.edges = _matrix(nodes.column("edges"), np.int32)
+        self.points, self.entry = _augmented(self.exact), nodes.column("entry")[0].as_py()
+        self.names = nodes.select(["key", "ids"]).combine_chunks()
+
+    def answers(self, asks: pa.RecordBatch, beam: int, most: int) -> pa.RecordBatch:
+        """Of each query the ``most`` best nodes by the exact product, of equal ones those with smaller ids."""
+        names, wanted = asks.column("key").to_pylist(), _matrix(asks.column("v"), np.float64)
+        scaled = np.hstack([wanted / np.sqrt((wanted**2).sum(axis=1))[:, None], np.zeros((len(wanted), 1))]).astype(np.float32)
+        query, node, score = [], [], []
+        size = max(16, 16_000_000 // len(self.points))
+        for s in range(0, len(names), size):
+            for i, row in enumerate(beam_search(self.points, self.edges, self.entry, scaled[s : s + size], beam), s):
+                row = np.sort(row[row >= 0])  # nodes are in order of their smallest ids
+                value = (self.exact[row] * wanted[i]).sum(axis=1)
+                best = np.argsort(-value, kind="stable")[:most]
+                query += [names[i]] * len(best)
+                node += row[best].tolist()
+                score += value[best].tolist()
+        found = self.names.take(pa.array(node, pa.int64())).combine_chunks()
+        columns = [found.column(c).chunk(0) if found.num_rows else pa.array([], found.schema.field(c).type) for c in ("key", "ids")]
+        return pa.RecordBatch.from_arrays([pa.array(query, pa.string()), *columns, pa.array(score, pa.float64())], ["query", "key", "ids", "score"])
 
 
 def brute_force(ids: list[int], vectors: np.ndarray, query: int, k: int = 20) -> list[tuple[int, float]]:

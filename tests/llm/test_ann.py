@@ -38,5 +38,29 @@ def test_few_and_odd(spark):
     assert run(spark, rows) == {0: [(6, 2.0), (7, 2.0), (1, 0.5)]}
     assert run(spark, rows[1:4]) == {}
     assert run(spark, []) == {}
-    # blocks and shards change no result here
-    assert run(spark, rows, least_shards=1) == run(spark, rows, block=1)
+    # shards, and results dealt to several tasks, change nothing here
+    assert run(spark, rows, least_shards=1) == run(spark, rows, heavy=1) == run(spark, rows)
+
+
+def exact(rows, k=20):
+    """Every query row's true nearest, its own row left out; keyed by id and vector."""
+    out = {}
+    for at, (q, v) in enumerate(rows):
+        if q % 20 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for j, (i, w) in enumerate(rows) if j != at and len(w) == len(v))
+            out[q, tuple(v)] = [(i, -s) for s, i in best[:k]]
+    return out
+
+
+def test_ties_repeats_lengths(spark):
+    """39 different vectors at one score, copies of rows, one id on two vectors, vectors of other lengths."""
+    rows = [(0, [1.0, 0.0])] + [(100 - i, [0.5, float(i)]) for i in range(1, 40)]
+    rows += [(20, [3.0, 1.0]), (20, [1.0, 3.0]), (40, [0.25, 0.0]), (40, [0.25, 0.0]), (7, [1.0, 0.0])]
+    rows += [(200, [1.0, 0.0, 0.0]), (201, [2.0, 0.0, 1.0]), (202, [1.0])]
+    table = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    for options in ({}, {"least_shards": 1, "heavy": 1}):
+        vectors = {}
+        for r in ann.nearest(table, F.col("vec_id") % 20 == 0, **options).collect():
+            vectors.setdefault((r["query_id"], r["query_key"]), {})[r["rank"]] = (r["vec_id"], r["score"])
+        got = sorted((q, [ranked[n] for n in range(1, len(ranked) + 1)]) for (q, _), ranked in vectors.items())
+        assert got == sorted((q, found) for (q, _), found in exact(rows).items())
