@@ -2,17 +2,16 @@
 
 The kernel compares words by the letter triples that they hold in order, gaps allowed: a triple
 that spans more letters weighs less, so a word with an inserted letter keeps most of its
-triples. Words that toxic documents hold far beyond chance count for being themselves
-besides. Landmarks are words of the training sample; a linear machine is trained on the Nyström
-features of the sample's words, weighted by how often documents of either label hold them. As
-those features are linear in the triples, the trained machine folds into one weight per triple,
-and a word is scored by looking its triples up. A document's four worst words
-make its probability, by a logistic fit on the training documents.
+triples. Landmarks are words of the training sample; a machine is trained on the Nyström
+features of the sample's words, weighted by how often documents of either label hold them, and
+of virtual examples, telling words with one or two letters put in. As the features are linear
+in the triples, the trained machine folds into one weight per triple, and a word is scored by
+looking its triples up. A document's worst word, and all its bad words together, make its
+probability, by a logistic fit on the training documents.
 """
 
 from __future__ import annotations
 
-import itertools
 import re
 from collections.abc import Iterator
 
@@ -26,6 +25,8 @@ from rowloom.llm.common import staged
 
 SPAN = 5  # a triple's second and third letter lie within so many letters of its first
 DECAY = 0.7  # weight of each letter that a triple spans
+CEILING = 3.0  # scores beyond count no more
+LEVELS = (0.0, 0.75, 1.5)  # of word scores, for a document's features
 WIDTH = 32  # longer words are cut into overlapping parts of this length
 _STEPS = [(i, j) for i in range(1, SPAN) for j in range(i + 1, SPAN + 1)]
 _SPLIT = re.compile(r"[\W_]+")
@@ -106,9 +107,10 @@ def norm_of(codes: np.ndarray) -> np.ndarray:
 def word_scores(words: list[str], weights: np.ndarray) -> np.ndarray:
     """Highest over a word's parts of the sum of the triples' weights over the part's norm.
 
-    Triples that reach past a word's end have weight 0.
+    The last of ``weights`` is the machine's offset. Triples that reach past a word's end have
+    weight 0, and a score lies between -1 and ``CEILING``.
     """
-    best = np.full(len(words), -np.inf)
+    best = np.full(len(words), -1.0)
     for codes, owner, width in by_width(words):
         total = np.zeros(len(codes))
         high, middle = codes << 12, codes << 6
@@ -116,8 +118,8 @@ def word_scores(words: list[str], weights: np.ndarray) -> np.ndarray:
             ids = high[:, : width - j] | middle[:, i : width - j + i]
             ids |= codes[:, j:]
             total += weights[ids].sum(axis=1) * DECAY ** (j - 2)
-        np.maximum.at(best, owner, total / norm_of(codes))
-    return best
+        np.maximum.at(best, owner, total / norm_of(codes) + weights[-1])
+    return np.minimum(best, CEILING)
 
 
 def landmark_features(words: list[str], landmarks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,12 +150,28 @@ def landmark_features(words: list[str], landmarks: list[str]) -> tuple[np.ndarra
     return out, known, values[:-1]
 
 
-def train_machine(words: list[str], pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int, n_landmarks: int, hard: np.ndarray, penalty: float = 1e-4) -> np.ndarray:
+def with_letters(word: str, count: int, how_many: int, letters: str) -> list[str]:
+    """``how_many`` versions of the word with ``count`` random letters put in; the word seeds the draws."""
+    rng = np.random.default_rng([count, *word.encode("utf-8", "surrogatepass")])
+    out = []
+    for _ in range(how_many):
+        made = word
+        for _ in range(count):
+            at = int(rng.integers(1, max(2, len(made))))
+            made = made[:at] + letters[rng.integers(len(letters))] + made[at:]
+        out.append(made)
+    return out
+
+
+def train_machine(words: list[str], pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int, n_landmarks: int, hard: np.ndarray, penalty: float = 1e-5, versions: int = 30) -> np.ndarray:
     """One weight per triple, from the numbers ``pos`` and ``neg`` of toxic and other documents that hold each word.
 
     A toxic document says little about most of its words. A word is a witness as far as more
     toxic documents hold it than chance explains; after a first training, words that no other
-    document holds and that the machine takes for witnesses' kin become witnesses too.
+    document holds and that the machine takes for witnesses' kin become witnesses too. Witnesses
+    also stand as virtual examples, ``versions`` with one letter put in and as many with two, so
+    that the machine weighs triples by what they say across a gap. Landmarks are the witnesses,
+    then hard words, then common ones.
     """
     expected = neg * n_pos / n_neg
     z = (pos - expected) / np.sqrt(expected + 1)
@@ -161,31 +179,52 @@ def train_machine(words: list[str], pos: np.ndarray, neg: np.ndarray, n_pos: int
     if not surprise.any():
         surprise = np.clip(z, 0, None)
     telling = np.lexsort((np.arange(len(z)), -z))[: n_landmarks // 2]
-    common = np.argsort(-neg, kind="stable")[:n_landmarks]
+    common = np.lexsort((np.arange(len(z)), -neg, ~hard))[:n_landmarks]
     chosen = list(dict.fromkeys([*telling.tolist(), *common.tolist()]))[:n_landmarks]
-    kernel, known, values = landmark_features(words, [words[i] for i in chosen])
+    letters = "".join(sorted({c for i in np.argsort(-neg, kind="stable")[:2000] for c in words[i] if c.isalpha()})) or "e"
+    witnesses = [int(i) for i in telling if z[i] >= 4]
+    made = [(v, i) for i in witnesses for count in (1, 2) for v in with_letters(words[i], count, versions, letters)]
+    known_words = set(words)
+    made = [(v, i) for v, i in made if v not in known_words]
+    of_word = np.array([i for _, i in made], np.int64)
+    # the more documents speak for a word, the wider the margin that it is to keep
+    odds = np.log(((pos + 0.5) / n_pos) / ((neg + 0.5) / n_neg))
+    goal = np.clip(odds / 2 * pos / (pos + 10), 1, 4)
+    goal = np.concatenate([goal, goal[of_word]])
+    kernel, known, values = landmark_features([*words, *(v for v, _ in made)], [words[i] for i in chosen])
     spread, vectors = np.linalg.eigh(kernel[chosen].astype(np.float64))
     keep = spread > 1e-3 * spread.max()
     whiten = vectors[:, keep] / np.sqrt(spread[keep])
-    x = np.hstack([kernel @ whiten, np.ones((len(words), 1))])
+    x = np.ones((len(kernel), whiten.shape[1] + 1), np.float32)
+    np.matmul(kernel, whiten.astype(np.float32), out=x[:, :-1])
+    del kernel
     push = (neg + 0.1) / (neg + 0.1).sum()
     push = push + (neg > 0) / max(1, (neg > 0).sum())  # rare words count too
     if hard.any():
         push = push + 2 * hard / hard.sum()
+    push = np.concatenate([push, np.zeros(len(made))])
     for again in range(3):
         pull = pos / n_pos * surprise
         pull = pull / max(pull.sum(), 1e-12)
+        pull = np.concatenate([pull, pull[of_word] / max(1, versions)])
         w = np.zeros(x.shape[1])
         for _ in range(20):  # Newton's method on the squared hinge
             s = x @ w
-            short, above = pull * (s < 1), push * (s > -1)
-            new = np.linalg.solve((x.T * (short + above)) @ x + penalty * np.eye(len(w)), x.T @ (short - above))
+            short, above = pull * (s < goal), push * (s > -1)
+            curve, slope = penalty * np.eye(len(w)), np.zeros(len(w))
+            for at in range(0, len(x), 4096):  # in blocks, as the sums need doubles
+                block = slice(at, at + 4096)
+                part = x[block].astype(np.float64)
+                curve += (part.T * (short + above)[block]) @ part
+                slope += part.T @ (short * goal - above)[block]
+            new = np.linalg.solve(curve, slope)
             w, moved = new, np.abs(new - w).max()
             if moved < 1e-6:
                 break
-        surprise = np.maximum(surprise, np.where(neg == 0, np.clip(2 * (x @ w) - 1, 0, 1), 0))
-    weights = np.zeros(1 << 18, np.float32)
+        surprise = np.maximum(surprise, np.where(neg == 0, np.clip(2 * (x[: len(words)] @ w) - 1, 0, 1), 0))
+    weights = np.zeros((1 << 18) + 1, np.float32)
     weights[known] = values @ (whiten @ w[:-1])
+    weights[-1] = w[-1]
     return weights
 
 
@@ -233,40 +272,14 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-LOWEST = 0.0  # also stands for the words that a short text lacks
-TOP = 4
-
-
-def witnesses(words: list[str], pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> dict[str, float]:
-    """What a word adds to its score for being itself: the identity kernel on words that toxic documents hold far beyond chance.
+def _evidence(weights: np.ndarray, most_cached: int = 400_000):
+    """A function from texts to features: the worst word's score, and for each level the logarithm of 1 and what all words have above it.
 
-    Up to 2, by the logarithm of the odds and by how many documents speak for it.
+    Scores of tokens are kept, up to ``most_cached`` and a batch's.
     """
-    expected = neg * n_pos / n_neg
-    z = (pos - expected) / np.sqrt(expected + 1)
-    odds = np.log(((pos + 0.5) / n_pos) / ((neg + 0.5) / n_neg))
-    worth = 2 * np.clip(odds / 8, 0, 1) * pos / (pos + 3)
-    return {words[i]: float(worth[i]) for i in np.flatnonzero(z >= 4)}
-
-
-def without_one(word: str) -> list[str]:
-    """What is left of a word without one of its inner letters."""
-    return [word[:i] + word[i + 1 :] for i in range(1, len(word) - 1)] if 5 <= len(word) <= 25 else []
-
-
-def _worst(weights: np.ndarray, known: dict[str, float], most_cached: int = 400_000):
-    """A function from texts to the ``TOP`` highest scores of their tokens, highest first, with the scores of tokens kept."""
     cache: dict[str, float] = {}
-    names = list(known)
-    full = {w: a + known[w] for w, a in zip(names, word_scores(names, weights).tolist(), strict=True)}
-
-    def lifted(word: str, own: float) -> float:
-        """A witness has its full score; a word that is one with a letter put in has nine tenths of that, if not more by itself."""
-        if word in full:
-            return full[word]
-        return max(own, 0.9 * max(map(full.get, without_one(word), itertools.repeat(0.0)), default=0.0))
 
-    def worst(texts: list[str | None]) -> np.ndarray:
+    def of(texts: list[str | None]) -> np.ndarray:
         if len(cache) > most_cached:
             cache.clear()
         sets = [tokens_of(t) for t in texts]
@@ -274,51 +287,42 @@ def _worst(weights: np.ndarray, known: dict[str, float], most_cached: int = 400_
         for s in range(0, len(new), 20_000):
             some = new[s : s + 20_000]
             parts = [parts_of(t) for t in some]
-            flat = [p for ps in parts for p in ps]
-            scores = [lifted(p, a) for a, p in zip(word_scores(flat, weights).tolist(), flat, strict=True)]
+            scores = word_scores([p for ps in parts for p in ps], weights).tolist()
             at = 0
             for token, ps in zip(some, parts, strict=True):
-                cache[token] = max(scores[at : at + len(ps)], default=-9.0)
+                cache[token] = max(scores[at : at + len(ps)], default=-1.0)
                 at += len(ps)
-        out = np.full((len(texts), TOP), LOWEST)
+        out = np.zeros((len(texts), 1 + len(LEVELS)))
         for row, tokens in zip(out, sets, strict=True):
             scores = np.fromiter(map(cache.__getitem__, tokens), float, len(tokens))
-            high = np.sort(np.partition(scores, -TOP)[-TOP:] if len(scores) > TOP else scores)[::-1]
-            row[: len(high)] = np.maximum(high, LOWEST)
+            row[0] = scores.max(initial=-1.0)
+            row[1:] = [np.log1p(np.maximum(scores - least, 0).sum()) for least in LEVELS]
         return out
 
-    return worst
-
-
-def evidence(high: np.ndarray, usual: float) -> np.ndarray:
-    """Features of a document: its highest scores, and by how much the first passes the usual."""
-    return np.hstack([high, np.maximum(0, high[:, :1] - usual)])
+    return of
 
 
 class ToxicityModel:
-    """A trained machine: triple weights, and slopes, offset and floor of the probability.
-
-    ``usual`` is the score that the worst word of hardly any clean document passes.
-    """
+    """A trained machine: triple weights, and slopes, offset and floor of the probability."""
 
-    def __init__(self, weights: np.ndarray | None, slopes: np.ndarray | None, offset: float, floor: float = 0.0, usual: float = 0.0, known: dict[str, float] | None = None):
-        self.weights, self.slopes, self.offset, self.floor, self.usual, self.known = weights, slopes, offset, floor, usual, known or {}
+    def __init__(self, weights: np.ndarray | None, slopes: np.ndarray | None, offset: float, floor: float = 0.0):
+        self.weights, self.slopes, self.offset, self.floor = weights, slopes, offset, floor
 
     def append(self, docs: DataFrame, text: str = "text", name: str = "score") -> DataFrame:
         """``docs`` with the score, 0 to 1, of every row as column ``name``; a null text counts as an empty one."""
         docs = docs.drop(name)
         if self.weights is None:
             return docs.withColumn(name, F.lit(float(1 / (1 + np.exp(-self.offset)))))
-        weights, slopes, offset, floor, usual, known = self.weights, self.slopes, self.offset, self.floor, self.usual, self.known
+        weights, slopes, offset, floor = self.weights, self.slopes, self.offset, self.floor
 
         def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            worst = _worst(weights, known)
+            evidence = _evidence(weights)
             for batch in batches:
                 for s in range(0, batch.num_rows, 500):
                     part = batch.slice(s, 500)
-                    high = worst(part.column(text).to_pylist())
+                    x = evidence(part.column(text).to_pylist())
                     # below the step the floor still rises a little, which keeps the order of texts
-                    p = floor / (1 + np.exp(-high[:, 0])) + (1 - floor) / (1 + np.exp(-np.clip(evidence(high, usual) @ slopes + offset, -300, 300)))
+                    p = floor / (1 + np.exp(-x[:, 0])) + (1 - floor) / (1 + np.exp(-np.clip(x @ slopes + offset, -300, 300)))
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p)], [*part.schema.names, name])
 
         return docs.mapInArrow(scored, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
@@ -328,7 +332,7 @@ class ToxicityModel:
         return self.append(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).select("doc_id", "score")
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 8_000, max_words: int = 32_000, n_landmarks: int = 192, mining: int = 2) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 8_000, max_words: int = 32_000, n_landmarks: int = 384, mining: int = 2) -> ToxicityModel:
     """Train on labelled documents that aren't held out.
 
     ``max_docs`` labels, those with the smallest hash of their doc_id, make the sample, and
@@ -366,22 +370,19 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 8_000, max_words: in
         weights = train_machine([r["word"] for r in found], pos, neg, n_pos, n_neg, n_landmarks, np.array([r["word"] in hard for r in found]))
         if again < mining:
             scored = words.filter("neg > 0 and neg >= pos").withColumnRenamed("word", "text").withColumn("doc_id", F.struct("text", "pos", "neg"))
-            high = ToxicityModel(weights, np.array([1.0] + [0.0] * TOP), 0.0).score(scored).orderBy(F.col("score").desc(), "doc_id.text").limit(max_words // 8)
+            high = ToxicityModel(weights, np.eye(1 + len(LEVELS))[0], 0.0).score(scored).orderBy(F.col("score").desc(), "doc_id.text").limit(max_words // 8)
             for r in high.select("doc_id.text", "doc_id.pos", "doc_id.neg").withColumnRenamed("text", "word").collect():
                 rows[r["word"]] = r
                 hard.add(r["word"])
-    own = witnesses([r["word"] for r in found], pos, neg, n_pos, n_neg)
 
-    def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worst = _worst(weights, own)
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        evidence = _evidence(weights)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(list(worst(batch.column("text").to_pylist()))), batch.column("label")], ["high", "label"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(evidence(batch.column("text").to_pylist()))), batch.column("label")], ["x", "label"])
 
-    raw = sample.select("text", "label").mapInArrow(tops, "high array<double>, label int").collect()
-    raw.sort(key=lambda r: (r["high"], r["label"]))
-    high, label = np.array([r["high"] for r in raw]), np.array([float(r["label"]) for r in raw])
-    usual = float(np.quantile(high[label == 0, 0], 0.998))
-    return ToxicityModel(weights, *fit_logistic(evidence(high, usual), label), usual, own)
+    raw = sample.select("text", "label").mapInArrow(features, "x array<double>, label int").collect()
+    raw.sort(key=lambda r: (r["x"], r["label"]))
+    return ToxicityModel(weights, *fit_logistic(np.array([r["x"] for r in raw]), np.array([float(r["label"]) for r in raw])))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
