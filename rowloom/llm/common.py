@@ -32,6 +32,23 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread_join(big: DataFrame, small: DataFrame, keys: list[str], count: str, by: Column, heavy: int = 100_000) -> DataFrame:
+    """``big`` joined with ``small`` on ``keys``, where ``small`` has one row for each key and ``count``, how many rows of ``big`` hold it.
+
+    A key of more than ``heavy`` rows is dealt to several tasks, by the hash of ``by``. What is
+    broadcast for that is one row for each such key, so at most one for ``heavy`` rows of ``big``.
+    """
+    parts = F.ceil(F.col(count) / heavy).cast("int")
+    hot = small.filter(F.col(count) > heavy).select(*[F.col(k).alias(f"_rl_{k}") for k in keys], parts.alias("_rl_parts"))
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k) == F.col(f"_rl_{k}")
+    dealt = big.join(F.broadcast(hot), same, "left").withColumn("_rl_part", F.pmod(F.xxhash64(by), F.coalesce("_rl_parts", F.lit(1))).cast("int"))
+    dealt = dealt.drop("_rl_parts", *[f"_rl_{k}" for k in keys])
+    copies = small.withColumn("_rl_part", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)))
+    return dealt.join(copies, [*keys, "_rl_part"]).drop("_rl_part")
+
+
 def word_count(text: Column) -> Column:
     """Number of words, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

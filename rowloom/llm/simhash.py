@@ -42,9 +42,8 @@ def shingle_hashes(text: str | None, shingle: int = 4, seed: int = 42) -> np.nda
     return np.array([digest(body[s:e], seed) for s, e in zip(starts, ends, strict=False)], dtype=">u8")
 
 
-def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
-    """SimHash of the whole text's word shingles, repeats included; 0 without words."""
-    hashes = shingle_hashes(text, shingle, seed)
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """Bits that over half of the hashes have; 0 without any."""
     if not len(hashes):
         return 0
     ones = np.zeros(64, np.int64)
@@ -53,6 +52,11 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
 
 
+def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
+    """SimHash of the whole text's word shingles, repeats included; 0 without words."""
+    return fingerprint_of(shingle_hashes(text, shingle, seed))
+
+
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4) -> DataFrame:
     """Written table of doc_id and ``fp``, the fingerprint as a signed 64-bit number."""
 
