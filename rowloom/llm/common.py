@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,17 +20,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one made here where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, one is made for a local session, and a cluster gets an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="rowloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+_scratch: ContextVar[str] = ContextVar("scratch", default="")
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever file system holds it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is staged inside goes at the end; results have to be written before."""
+    name = f"scratch-{uuid.uuid4().hex}"
+    token = _scratch.set(f"{name}/")
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        delete(spark, f"{shared_dir(spark)}/{name}")
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later branches reuse it, and lost executors cost no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """Write ``df`` to the shared folder and read it back: later branches reuse it, and lost executors cost no recomputation.
+
+    The table stays for as long as its folder does; inside ``scratch`` it goes with that.
+    """
+    path = f"{shared_dir(df.sparkSession)}/{_scratch.get()}{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -54,11 +83,13 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def found_spans(text: Column, pattern: str) -> Column:
+def found_spans(text: Column, pattern: str, block: int = 500) -> Column:
     """Every leftmost non-overlapping match as ``array<struct<start, end, value>>``; offsets in code points, end exclusive.
 
     The pieces between matches come from ``split`` and the matches from
     ``regexp_extract_all``; both walk the text alike, so running lengths give the offsets.
+    They are summed in blocks of ``block`` matches, so that a text of very many matches
+    costs no copying of all its spans for each of them.
     """
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), lambda piece: F.length(piece))
@@ -70,9 +101,15 @@ def found_spans(text: Column, pattern: str) -> Column:
         span = F.struct(start.alias("start"), end.alias("end"), pair["hit"].alias("value"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
+    def shifted(spans: Column, by: Column) -> Column:
+        return F.transform(spans, lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end"), s["value"].alias("value")))
+
     pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("hit")))
-    walked = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(F.size(hits) > 0, walked).otherwise(none)
+    zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    firsts = F.sequence(F.lit(1), F.size(hits), F.lit(block))
+    blocks = F.transform(firsts, lambda first: F.aggregate(F.slice(pairs, first, F.lit(block)), zero, step))
+    joined = F.aggregate(blocks, zero, lambda acc, b: F.struct((acc["at"] + b["at"]).alias("at"), F.concat(acc["out"], shifted(b["out"], acc["at"])).alias("out")), lambda acc: acc["out"])
+    return F.when(F.size(hits) > 0, joined).otherwise(none)
 
 
 def span_list(spans: Column) -> Column:

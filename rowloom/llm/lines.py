@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import staged
+from rowloom.llm.common import spread_join, staged
 
 
 def dedup_lines(docs: DataFrame, window: int = 3) -> DataFrame:
@@ -33,8 +33,8 @@ def dedup_lines(docs: DataFrame, window: int = 3) -> DataFrame:
     windows = held.filter(last >= 0).select(F.col("doc_id").alias("_rl_doc"), F.col("_rl_text").alias("_rl_key"), F.inline(hashed))
     windows = staged(windows, "line-windows")
     place = F.struct("_rl_doc", "_rl_key", "pos")
-    repeated = windows.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1").drop("n")
-    later = windows.join(repeated, ["h", "g"]).filter(~place.eqNullSafe(F.col("first")))
+    repeated = windows.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1")
+    later = spread_join(windows, repeated, ["h", "g"], "n", F.struct("_rl_doc", "pos")).filter(~place.eqNullSafe(F.col("first")))
     covered = later.groupBy("_rl_doc", "_rl_key").agg(F.collect_set("pos").alias("_rl_starts"))
     out = held.join(covered, F.col("doc_id").eqNullSafe(F.col("_rl_doc")) & (F.col("_rl_text") == F.col("_rl_key")), "left")
     marked = F.array_distinct(F.flatten(F.transform("_rl_starts", lambda s: F.sequence(s, s + window - 1))))

@@ -18,13 +18,15 @@ from rowloom.llm.common import staged, word_count
 WEIGHTS = (3, 1, 2)
 
 
-def random_key(doc_id: Column, seed: str) -> Column:
-    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":" + seed)))
+def random_key(doc_id: Column, digest: Column, seed: str) -> Column:
+    """The text's digest takes part, so that rows without a doc_id, or with the same one, spread as well."""
+    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(digest, F.lit("")), F.lit(":" + seed)))
 
 
 def source_targets(sizes: DataFrame, share: float = 1.5, epochs: int = 2, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """Targets of ``sizes`` (source, source_size): weights share ``share`` of all words, no source above ``epochs`` times its own.
 
+    One task ranks the sources, one row each: their number has to be one that a task can sort.
     What a source at its limit leaves goes to the others by weight until none is above, which
     is filling to one level: sources in order of limit per weight reach their limit while it
     lies under the level that the rest would get.
@@ -43,18 +45,18 @@ def source_targets(sizes: DataFrame, share: float = 1.5, epochs: int = 2, weight
     return leveled.withColumn("target", target).select("source", "source_size", "target")
 
 
-def mix(docs: DataFrame, size: str | None = None, share: float = 1.5, epochs: int = 2, weights: tuple[int, ...] = WEIGHTS, digits: int = 3, seed: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, size: str | None = None, share: float = 1.5, epochs: int = 2, weights: tuple[int, ...] = WEIGHTS, digits: int = 3, seed: str = "mix", digest: str | None = None) -> DataFrame:
     """Add ``size``, ``source_size``, ``target`` and ``taken`` (words that the mix takes, repeats counted) to ``docs``.
 
-    docs: ``doc_id``, ``source`` and either ``text`` or the column named by ``size``; other
-    columns pass through, but those with the names that are added here give way. A null text
-    has no words, a null source is a source of its own and comes last, a null doc_id has the
-    key of the empty string. Rows with one key are taken in order of size; rows alike in both
+    docs: ``doc_id``, ``source`` and either ``text`` or the columns named by ``size`` and
+    ``digest`` (the text's md5); other columns pass through, but those with the names that are
+    added here give way. A null text has no words, a null source is a source of its own and
+    comes last, a null doc_id counts as the empty string. Rows with one key are taken in order of size; rows alike in both
     are interchangeable. Empty input gives no rows. ``digits`` hex digits of the key number
     the ranges of a source (16 ** digits of them).
     """
     words = F.coalesce(F.col(size), F.lit(0)).cast("long") if size else word_count(F.col("text"))
-    keyed = docs.withColumn("_rl_size", words).withColumn("_rl_key", random_key(F.col("doc_id"), seed)).withColumn("_rl_range", F.substring("_rl_key", 1, digits))
+    keyed = docs.withColumn("_rl_size", words).withColumn("_rl_key", random_key(F.col("doc_id"), F.col(digest) if digest else F.md5(F.col("text")), seed)).withColumn("_rl_range", F.substring("_rl_key", 1, digits))
     ranges = staged(keyed.groupBy("source", "_rl_range").agg(F.sum("_rl_size").alias("_rl_words")), "mix-ranges")
     sizes = ranges.groupBy("source").agg(F.sum("_rl_words").alias("source_size"))
     targets = source_targets(sizes, share, epochs, weights)
@@ -88,7 +90,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
 MIX_SQL = r"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-                  md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':mix') AS key FROM documents),
+                  md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(md5(text), '') || ':mix') AS key FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 r AS (SELECT *, 2 * source_size AS cap, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS w FROM s),
 f AS (SELECT *, (1.5::DOUBLE * (sum(source_size) OVER ())::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap::DOUBLE / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)

@@ -10,8 +10,8 @@ from rowloom.llm.common import staged, table, word_count
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("words"))
-    mixed = mixing.mix(staged(docs, "mix-sizes"), size="words")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("words"), F.md5("text").alias("digest"))
+    mixed = mixing.mix(staged(docs, "mix-sizes"), size="words", digest="digest")
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
