@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: What separates words in the contracts: space and the control characters from tab to carriage return.
@@ -112,6 +112,14 @@ def found_spans(text: Column, pattern: str, block: int = 500) -> Column:
     return F.when(F.size(hits) > 0, joined).otherwise(none)
 
 
+def overlapped(strong: Column, row: str = "row") -> Column:
+    """Whether a span (columns ``row``, ``start``, ``end``) overlaps another one of its row that is ``strong``; a sorted sweep."""
+    order = Window.partitionBy(row).orderBy("start", "end", "ord")
+    before = F.max(F.when(strong, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.min(F.when(strong, F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
+    return F.coalesce(before > F.col("start"), F.lit(False)) | F.coalesce(after < F.col("end"), F.lit(False))
+
+
 def span_list(spans: Column) -> Column:
     """``kind:start:end`` of each span, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from rowloom.llm.common import staged
 
-SIZE = 4096  # hash classes of the 4-grams
+SIZE = 1024  # hash classes of the 4-grams, a power of two
 SHAPES = ("log size", "white space", "line ends", "ASCII letters", "digits", "other ASCII", "beyond ASCII", "same as before", "word starts that repeat")
 
 
@@ -36,7 +36,7 @@ def grams(data: np.ndarray) -> np.ndarray:
     """Hash class of the 4-gram that begins at each byte; the last three bytes have none."""
     d = data.astype(np.uint32)
     whole = d[:-3] | (d[1:-2] << 8) | (d[2:-1] << 16) | (d[3:] << 24)
-    return (whole * np.uint32(2654435761)) >> np.uint32(20)
+    return (whole * np.uint32(2654435761)) >> np.uint32(33 - SIZE.bit_length())
 
 
 def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -161,53 +161,34 @@ def grades_of(labels: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, max_docs: int = 6_000, per_gram: float = 30.0) -> OrdinalModel | None:
     """Train on the ``max_docs`` rated documents with the smallest hash of their doc_id; None without any.
 
-    The 4-gram weights live in the span of the sample's 512 most telling classes.
+    The sample, a row of ``SIZE`` frequencies and the shapes for each document, is collected, so ``max_docs`` bounds what the driver holds.
     """
     known = ratings.select(F.col("doc_id").alias("_id"), "grade").orderBy(F.xxhash64("_id"), "_id").limit(max_docs)
     sample = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("text", "grade")
     sample = staged(sample, "rated-sample").repartition(8)
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """4-gram frequencies, shapes and grades of up to 100 documents at a time."""
+    def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in range(0, batch.num_rows, 100):
                 part = batch.slice(s, 100)
                 code, bounds, shape = features(part.column("text").to_pylist())
-                yield np.stack([np.bincount(code[a:b], minlength=SIZE) / (b - a) for a, b in bounds]), shape, part.column("grade").to_numpy()
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((4, SIZE))
-        for gram, _, grade in blocks(batches):
-            total += np.stack([gram.sum(axis=0), (gram**2).sum(axis=0), grade @ gram, np.full(SIZE, len(gram))])
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
+                gram = np.stack([np.bincount(code[a:b], minlength=SIZE) / (b - a) for a, b in bounds])
+                rows = [r.tobytes() for r in np.hstack([shape, gram]).astype(np.float32)]
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), part.column("grade")], ["x", "grade"])
 
-    # one row from each of the few partitions; it says which classes tell most
     sample = sample.filter(F.col("grade").between(0, n_grades - 1))
-    totals = sorted(bytes(r["total"]) for r in sample.mapInArrow(sums, "total binary").collect())
-    add, square, by_grade, n = sum((np.frombuffer(t).reshape(4, SIZE) for t in totals), np.zeros((4, SIZE)))
-    if not n[0]:
-        return None
-    gram_mean = add / n
-    scale = 1 / (np.sqrt(np.maximum(0, square / n - gram_mean**2)) + 1e-4)
-    graded = {r["grade"]: r["n"] for r in sample.groupBy("grade").agg(F.count("*").alias("n")).collect()}
-    telling = np.abs(by_grade - gram_mean * sum(g * c for g, c in graded.items())) * scale
-    chosen = np.sort(np.argsort(-np.round(telling, 9), kind="stable")[:512])
-
-    def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for gram, shape, grade in blocks(batches):
-            rows = [r.tobytes() for r in np.hstack([shape, gram[:, chosen]]).astype(np.float32)]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(grade, pa.int32())], ["x", "grade"])
-
     rows = sorted((r["grade"], bytes(r["x"])) for r in sample.mapInArrow(table, "x binary, grade int").collect())
+    if not rows:
+        return None
     grade = np.array([g for g, _ in rows])
     values = np.stack([np.frombuffer(x, np.float32) for _, x in rows]).astype(float)
     shape, gram = values[:, : len(SHAPES)], values[:, len(SHAPES) :]
     mean, spread = shape.mean(axis=0), shape.std(axis=0) + 1e-6
-    x = np.hstack([np.clip((shape - mean) / spread, -6, 6), (gram - gram_mean[chosen]) * scale[chosen]])
-    penalty = np.concatenate([np.full(shape.shape[1], 0.1), np.full(len(chosen), per_gram)])
+    gram_mean, scale = gram.mean(axis=0), 1 / (gram.std(axis=0) + 1e-4)
+    x = np.hstack([np.clip((shape - mean) / spread, -6, 6), (gram - gram_mean) * scale])
+    penalty = np.concatenate([np.full(shape.shape[1], 0.1), np.full(SIZE, per_gram)])
     w, thresholds = fit_ordinal(x, grade, n_grades, penalty)
-    weights = np.zeros(SIZE, np.float32)
-    weights[chosen] = w[shape.shape[1] :] * scale[chosen]
+    weights = (w[shape.shape[1] :] * scale).astype(np.float32)
     thresholds = thresholds + (gram_mean * weights).sum()
     return OrdinalModel(weights, w[: shape.shape[1]], mean, spread, thresholds)
 

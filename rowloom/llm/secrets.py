@@ -1,11 +1,11 @@
 """Secret scans with corpus-wide ownership frequency.
 
-Format rules find the base spans. A wider generator proposes key-like tokens. The value of
+Format rules find the base spans. Wider generators propose candidates: key blocks, signed
+tokens, passwords in addresses, labelled short values and long key-like tokens. The value of
 every span is hashed, and the hashes are counted over the whole corpus by distinct documents
 (repositories) and distinct sources (owners): a value that several owners hold is a copied
-example, a value of one owner, in however many documents, is a live-looking credential. Base spans
-always stay; a proposed token becomes a span only where its ownership and make-up say that it
-is live.
+example, a value of one owner, in however many documents, is a live-looking credential. Base
+spans always stay; a candidate becomes a span only where its ownership says that it is live.
 """
 
 from __future__ import annotations
@@ -13,33 +13,52 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import found_spans, span_list, staged
+from rowloom.llm.common import found_spans, overlapped, span_list, spread_join, staged
 
 #: Fixed patterns of the base kinds, in their order; lookbehinds and possessive repeats only spare hopeless tries.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
 ASSIGN_VALUE = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)$"""
 ACCESS = r"AKIA[A-Z0-9]{12,}+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"
-#: Proposed tokens: runs of key characters, 20 or more.
-PROPOSED = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+"
+#: Candidates: a cheap test of the text, the pattern, and the part of a match that is the value.
+PROPOSED = {
+    "pem": ("PRIVATE KEY-----", r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,}+", r"-----([A-Za-z0-9+/=\s]+)$"),
+    "jwt": ("eyJ", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", r"^(.*)$"),
+    "conn": ("://", r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]{1,20}+://[^\s:/@]{1,64}+:[^\s:/@]{4,128}+@", r":([^:]+)@$"),
+    "label": (None, r"""(?<![A-Za-z0-9])(?i:pwd|pass|passphrase|auth|bearer|credential|client_secret|private_?key|access_?key)s?+["']?\x20{0,2}[:=]\x20{0,2}["']?[A-Za-z0-9+/_.=!#$%&*@^~-]{6,}+""", r"""[:=]\x20*["']?([^\s"']+)$"""),
+    "token": (None, r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}", r"^(.*)$"),
+}
 
-KINDS = ("assign", "access", "hex", "token")
+BASE_KINDS = ("assign", "access", "hex")
+KINDS = (*BASE_KINDS, *PROPOSED)
 
 
 def _of_kind(spans: Column, kind: str) -> Column:
     order = KINDS.index(kind)
 
     def one(s: Column) -> Column:
-        value = F.regexp_extract(s["value"], ASSIGN_VALUE, 1) if kind == "assign" else s["value"]
+        value = s["value"]
+        if kind == "assign":
+            value = F.regexp_extract(value, ASSIGN_VALUE, 1)
+        elif kind in PROPOSED:
+            value = F.regexp_replace(F.regexp_extract(value, PROPOSED[kind][2], 1), r"\s+", "")
         return F.struct(s["start"].alias("start"), F.lit(order).alias("ord"), F.lit(kind).alias("kind"), s["end"].alias("end"), value.alias("value"))
 
     return F.transform(spans, one)
 
 
-def _live_make(value: Column) -> Column:
-    """Digits with letters of both cases, or digits with letters and at least 12 different characters."""
+def live_make(kind: Column, value: Column) -> Column:
+    """Whether a value may be a credential by its make-up.
+
+    Tokens need digits, letters and at least 12 different characters; labelled values a digit
+    or sign besides letters and at least five different characters; the other kinds have a
+    format of their own.
+    """
     kinds = value.rlike("[0-9]").cast("int") + value.rlike("[a-z]").cast("int") + value.rlike("[A-Z]").cast("int")
-    return (kinds >= 2) & value.rlike("[0-9]") & (F.size(F.array_distinct(F.split(value, ""))) >= 12)
+    varied = F.size(F.array_distinct(F.split(value, "")))
+    token = (kinds >= 2) & value.rlike("[0-9]") & (varied >= 12)
+    labelled = value.rlike("[A-Za-z]") & value.rlike("[^A-Za-z]") & (varied >= 5)
+    return F.when(kind == "token", token).when(kind == "label", labelled).otherwise(True)
 
 
 def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", shared_owners: int = 2) -> DataFrame:
@@ -47,32 +66,34 @@ def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ow
 
     A null text has no spans; a null owner or doc_id counts as one of its own. Values held by
     ``shared_owners`` or more owners are shared examples; values of fewer owners are
-    live-looking, however many copies of a document hold them. Repeated rows each get a result and count once in
-    the frequencies (they agree in doc_id and owner). Other columns are ignored. Empty input
-    gives no rows.
+    live-looking, however many copies of a document hold them. A candidate that overlaps a base
+    span is none, nor is a token inside another candidate; other candidates may overlap.
+    Repeated rows each get a result and count once in the frequencies (they agree in doc_id and
+    owner). Other columns are ignored. Empty input gives no rows.
     """
     body = F.coalesce(F.col(text), F.lit(""))
+    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
     assign = F.filter(_of_kind(found_spans(body, ASSIGN), "assign"), lambda s: F.length(s["value"]) >= 8)
-    rows = docs.select(
-        F.col(doc_id).alias("doc_id"),
-        F.col(owner).alias("owner"),
-        assign.alias("assign"),
-        _of_kind(found_spans(body, ACCESS), "access").alias("access"),
-        _of_kind(found_spans(body, HEX), "hex").alias("hex"),
-        _of_kind(found_spans(body, PROPOSED), "token").alias("token"),
-    )
-    base = F.array_sort(F.concat("assign", "access", "hex"))
-    rows = rows.select("doc_id", "owner", base.alias("base"), "token")
-    clear = F.filter("token", lambda t: _live_make(t["value"]) & ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    columns = [assign, _of_kind(found_spans(body, ACCESS), "access"), _of_kind(found_spans(body, HEX), "hex")]
+    for kind, (sign, pattern, _) in PROPOSED.items():
+        found = found_spans(body, pattern)
+        columns.append(_of_kind(F.when(F.contains(body, F.lit(sign)), found).otherwise(none) if sign else found, kind))
+    found = docs.select(F.col(doc_id).alias("doc_id"), F.col(owner).alias("owner"), *[c.alias(k) for c, k in zip(columns, KINDS, strict=True)])
+    made = F.filter(F.concat(*PROPOSED), lambda s: live_make(s["kind"], s["value"]))
     # a row number of the written table keeps repeated rows apart
-    rows = staged(rows.select(F.expr("uuid()").alias("row"), "doc_id", "owner", "base", clear.alias("token")), "secret-spans")
-    spans = rows.select("row", "doc_id", "owner", F.inline(F.concat("base", "token"))).withColumn("hash", F.sha2("value", 256))
-    owned = spans.groupBy("hash", "owner", "doc_id").agg(F.lit(1).alias("one")).groupBy("hash", "owner").agg(F.count("*").alias("docs"))
-    owned = owned.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("docs").alias("docs"))
-    judged = spans.select("row", "hash", F.struct("start", "ord", "kind", "end", "value").alias("span")).join(owned, "hash")
-    kept = judged.filter((F.col("span.kind") != "token") | (F.col("owners") < shared_owners))
+    rows = staged(found.select(F.expr("uuid()").alias("row"), "doc_id", "owner", F.array_sort(F.concat(*BASE_KINDS)).alias("base"), made.alias("wide")), "secret-spans")
+    spans = rows.select("row", "doc_id", "owner", F.inline(F.concat("base", "wide")))
+    is_base = F.col("ord") < len(BASE_KINDS)
+    spans = spans.withColumn("hit", overlapped(is_base)).filter(is_base | ~F.col("hit"))
+    is_token = F.col("kind") == "token"
+    spans = spans.withColumn("hit", overlapped(~is_token)).filter(~is_token | ~F.col("hit")).drop("hit").withColumn("hash", F.sha2("value", 256))
+    spans = staged(spans, "secret-candidates")
+    held = spans.groupBy("hash", "owner", "doc_id").agg(F.count("*").alias("n")).groupBy("hash", "owner").agg(F.count("*").alias("docs"), F.sum("n").alias("n"))
+    owned = staged(held.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("docs").alias("docs"), F.sum("n").alias("n")), "secret-owners")
+    judged = spread_join(spans.select("row", "hash", "start", "ord", "kind", "end", "value"), owned, ["hash"], "n", F.struct("row", "start"))
+    kept = judged.filter(is_base | (F.col("owners") < shared_owners))
     per_row = kept.groupBy("row").agg(
-        F.array_sort(F.collect_list(F.struct("span.start", "span.ord", "span.kind", "span.end", "span.value", "owners", "docs"))).alias("found"),
+        F.array_sort(F.collect_list(F.struct("start", "ord", "kind", "end", "value", "owners", "docs"))).alias("found"),
         F.count_if(F.col("owners") >= shared_owners).alias("n_shared"),
         F.count_if(F.col("owners") < shared_owners).alias("n_live"),
     )
@@ -90,7 +111,7 @@ def kind_count(spans: str, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
-def digest(scanned: DataFrame, kinds: tuple[str, ...] = KINDS[:3]) -> DataFrame:
+def digest(scanned: DataFrame, kinds: tuple[str, ...] = BASE_KINDS) -> DataFrame:
     """Counts by base kind, the hash of the base spans, and all spans as text."""
     return scanned.select(
         "doc_id",

@@ -21,6 +21,37 @@ def test_features_are_rowwise():
     assert together[1] == together[2]
 
 
+def slow_margin(text, model):
+    """Features and margin of one text, byte by byte."""
+    raw = (text or "").encode()
+    data = raw if len(raw) > 4 else raw.ljust(5, b"\0")
+
+    def kind(byte):
+        if byte in (9, 11, 12, 13, 32):
+            return 0
+        if byte == 10:
+            return 1
+        c = chr(byte)
+        return 5 if byte >= 128 else 2 if c.isalpha() else 3 if c.isdigit() else 4
+
+    n, kinds = len(data), [kind(b) for b in data]
+    code = [int.from_bytes(data[i : i + 4], "little") * 2654435761 % 2**32 // (2**32 // Q.SIZE) for i in range(n - 3)]
+    heads = [code[i] for i in range(n - 3) if kinds[i] >= 2 and (i == 0 or kinds[i - 1] < 2)]
+    shape = [np.log1p(len(raw)) / 10, *[kinds.count(k) / n for k in range(6)], sum(a == b for a, b in zip(data, data[1:], strict=False)) / n]
+    shape.append(1 - len(set(heads)) / len(heads) if heads else 0)
+    z = np.clip((np.array(shape) - model.mean) / model.spread, -6, 6)
+    return np.mean([model.gram[c] for c in code]) + z @ model.shape
+
+
+def test_brute_force():
+    rng = np.random.default_rng(3)
+    model = Q.OrdinalModel(rng.normal(size=Q.SIZE).astype(np.float32), rng.normal(size=9), rng.normal(size=9), np.ones(9), np.array([0.0, 1.0]))
+    texts = ["word word other\nline 12", None, "", "é" * 10, "abc", "the the\tthe $$ 99 the ü", "x" * 3000, "\n\n a"]
+    assert np.allclose(model.margin(texts), [slow_margin(t, model) for t in texts], atol=1e-5)
+    tails = model.tails(np.array([0.5]))
+    assert np.allclose(tails, [[1 / (1 + np.exp(-0.5)), 1 / (1 + np.exp(0.5))]])
+
+
 def test_held_out(spark):
     import duckdb
 
