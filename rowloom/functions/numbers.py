@@ -60,3 +60,26 @@ def likeness(a: Column, b: Column) -> Column:
     """1 less the mean absolute difference of two vectors, 0 at least."""
     gap = F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x)
     return F.greatest(F.lit(0.0), 1 - gap / F.size(a))
+
+
+def word_score(mean: Column, least: Column, ratio: Column, n: Column) -> Column:
+    """Score of a word from its signs' mean and least likeness, drawn down where its width is off for ``n`` signs; 0 for none or over 12."""
+    expected = F.greatest(F.lit(0.7), n * 0.86)
+    aspect = F.exp(-F.abs(F.log(F.greatest(F.lit(0.15), ratio) / expected)) * 0.26)
+    return F.when((n < 1) | (n > 12), 0.0).otherwise(F.greatest(F.lit(0.0), mean * 0.78 + least * 0.22) * aspect)
+
+
+def difference_hash(v: Column, bits: int = 63) -> Column:
+    """Bit i is 1 where element i is above the next one, for the first ``bits`` neighbours."""
+    return F.aggregate(F.sequence(F.lit(0), F.lit(bits - 1)), F.lit(0).cast("long"), lambda acc, i: acc * 2 + F.when(F.get(v, i) > F.get(v, i + 1), 1).otherwise(0))
+
+
+def hamming(a: Column, b: Column) -> Column:
+    return F.bit_count(a.bitwiseXOR(b))
+
+
+def fits_layout(family: Column, given: Column, split: Column, block: Column, left: Column, recovery: Column, flat: Column) -> Column:
+    """Whether a name of so many signs fits the row's layout: the given name's place in split rows, the length in others."""
+    off = F.abs(block - (left + 16 * family + 3.5))
+    placed = (given > 0) & (off <= F.when(recovery, 24).otherwise(10))
+    return F.when(split, placed).otherwise(family + given <= F.when(recovery | flat, 12).otherwise(9))

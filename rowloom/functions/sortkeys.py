@@ -25,10 +25,14 @@ def grade_value(text: Column) -> Column:
     return F.coalesce(*[F.when(upper == g, len(GRADES) - i) for i, g in enumerate(GRADES)]).cast("double")
 
 
-def natural_text(text: Column, width: int = 12) -> Column:
-    """Lower case with every number filled up with zeros to ``width`` digits, so that item2 comes before item10."""
+def natural_text(text: Column) -> Column:
+    """Lower case with the number of its digits before every number, so that item2 comes before item10, however long numbers are."""
+
+    def numbered(digits: Column) -> Column:
+        return F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)
+
     pieces = F.regexp_extract_all(F.lower(text), F.lit(r"(\d+|[^\d]+)"), F.lit(1))
-    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(r"^\d"), F.lpad(F.regexp_replace(p, "^0+(?=.)", ""), width, "0")).otherwise(p)), "")
+    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(r"^\d"), numbered(F.regexp_replace(p, "^0+(?=.)", ""))).otherwise(p)), "")
 
 
 def sort_key(value: Column, speed: bool = False, status: bool = False) -> Column:

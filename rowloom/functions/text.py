@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import re
-from functools import reduce
+import unicodedata
+from functools import cache, reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,14 +23,68 @@ _KATAKANA = "".join(chr(c) for c in range(0x30A1, 0x30F7))
 _HIRAGANA = "".join(chr(c - 0x60) for c in range(0x30A1, 0x30F7))
 
 
+@cache
+def _compatibility() -> tuple[str, str, dict[str, str], dict[str, str]]:
+    """What compatibility normalisation makes of single characters, by rule from Unicode's data.
+
+    Characters that become one other character and what they become, those that become
+    several, and pairs of a character and a combining mark that become one.
+    """
+    single, several, pairs = {}, {}, {}
+    for code in range(0x80, 0x2FA20):
+        if 0xD800 <= code < 0xE000 or 0xAC00 <= code < 0xD7A4:
+            continue
+        char = chr(code)
+        made = unicodedata.normalize("NFKC", char)
+        if made != char:
+            (single if len(made) == 1 else several)[char] = made
+        parts = unicodedata.decomposition(char).split()
+        if len(parts) == 2 and made == char:
+            pairs["".join(chr(int(p, 16)) for p in parts)] = char
+    return "".join(single), "".join(single.values()), several, pairs
+
+
+def _class_of(chars: set[str]) -> str:
+    """A regular expression's class of the characters, neighbours as ranges."""
+    codes, runs = sorted(map(ord, chars)), []
+    for c in codes:
+        if runs and c == runs[-1][1] + 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "[" + "".join(f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs) + "]"
+
+
 def nfkc(text: Column) -> Column:
-    """Compatibility normalisation, which Spark lacks, over Arrow batches."""
+    """Compatibility normalisation, which Spark lacks, of single characters and of characters with up to two marks.
+
+    Native: one translation for characters that become one other; only texts that hold
+    characters which become several, or combining marks, look those up.
+    """
+    single, made, several, pairs = _compatibility()
+    one = F.translate(text, single, made)
+    wide = _class_of(set(several))
+    spread = F.aggregate(
+        F.array_distinct(F.regexp_extract_all(one, F.lit(wide), F.lit(0))),
+        one,
+        lambda acc, c: F.replace(acc, c, F.coalesce(F.try_element_at(F.from_json(F.lit(_json(several)), "map<string,string>"), c), c)),
+    )
+    one = F.when(one.rlike(wide), spread).otherwise(one)
+    marks = _class_of({p[1] for p in pairs})
+
+    def composed(t: Column) -> Column:
+        joined = F.aggregate(
+            F.array_distinct(F.regexp_extract_all(t, F.lit(f"(?s).{marks}"), F.lit(0))),
+            t,
+            lambda acc, c: F.replace(acc, c, F.coalesce(F.try_element_at(F.from_json(F.lit(_json(pairs)), "map<string,string>"), c), c)),
+        )
+        return F.when(t.rlike(marks), joined).otherwise(t)
 
-    @F.pandas_udf("string")
-    def normalised(values: pd.Series) -> pd.Series:
-        return values.str.normalize("NFKC")
+    return composed(composed(one))
 
-    return normalised(text)
+
+def _json(table: dict[str, str]) -> str:
+    return json.dumps(table, ensure_ascii=False)
 
 
 def fold_width(text: Column) -> Column:
@@ -37,20 +92,21 @@ def fold_width(text: Column) -> Column:
     return F.translate(text, _WIDE + "　", _NARROW + " ")
 
 
-def search_key(text: Column, full: bool = False) -> Column:
-    """Lower case without white space and ignored signs; null gives the empty string. full: normalise by nfkc()."""
+def search_key(text: Column) -> Column:
+    """Normalised by nfkc(), lower case, without white space and ignored signs; null gives the empty string."""
     text = F.coalesce(text.cast("string"), F.lit(""))
-    return F.regexp_replace(F.lower(nfkc(text) if full else fold_width(text)), _CLASS, "")
+    # ASCII texts, most of many tables, have nothing to normalise
+    return F.regexp_replace(F.lower(F.when(text.rlike(r"[^\x00-\x7F]"), nfkc(text)).otherwise(text)), _CLASS, "")
 
 
-def name_key(text: Column, full: bool = False) -> Column:
+def name_key(text: Column) -> Column:
     """search_key() with katakana as hiragana and variant characters folded."""
-    return F.translate(search_key(text, full), _KATAKANA + "".join(SEARCH_VARIANTS), _HIRAGANA + "".join(SEARCH_VARIANTS.values()))
+    return F.translate(search_key(text), _KATAKANA + "".join(SEARCH_VARIANTS), _HIRAGANA + "".join(SEARCH_VARIANTS.values()))
 
 
 def strip_space(text: Column, variants: bool = False) -> Column:
     """Without any white space; variants: with the matching fold of characters."""
-    bare = F.regexp_replace(fold_width(F.coalesce(text, F.lit(""))), r"(?U)\s", "")
+    bare = F.regexp_replace(nfkc(F.coalesce(text, F.lit(""))), r"(?U)\s", "")
     return F.translate(bare, "".join(MATCH_VARIANTS), "".join(MATCH_VARIANTS.values())) if variants else bare
 
 
@@ -73,8 +129,6 @@ def search_column(columns: dict[str, Column], labels: dict[str, str] | None = No
 
 def python_key(text: str) -> str:
     """search_key() of a literal, for queries that are known when the plan is made."""
-    import unicodedata
-
     return re.sub(r"[\s" + re.escape(IGNORED) + "]", "", unicodedata.normalize("NFKC", text or "").lower())
 
 
@@ -122,7 +176,24 @@ def batch_of(path: Column, default: str = "single") -> Column:
 def split_name(name: Column) -> Column:
     """Struct of the first token and the rest without spaces."""
     tokens = F.split(collapse_space(name), " ")
-    return F.struct(F.get(tokens, 0).alias("family"), F.array_join(F.slice(tokens, 2, 1000), "").alias("given"))
+    return F.struct(F.get(tokens, 0).alias("family"), F.array_join(F.slice(tokens, F.lit(2), F.size(tokens)), "").alias("given"))
+
+
+def clean_reading(text: Column) -> Column:
+    """A recognised text: normalised, bars as spaces, white space collapsed."""
+    return collapse_space(F.translate(nfkc(F.coalesce(text, F.lit(""))), "|｜", "  "))
+
+
+def name_part(text: Column) -> Column:
+    """What of a recognised text may stand in a name: Han, kana and Latin letters with the marks that go with them."""
+    return F.regexp_replace(clean_reading(text), r"[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}々ヶヵーA-Za-z]", "")
+
+
+def labelled_total(text: Column) -> Column:
+    """The total behind one of its labels, common misreadings of them too, else the printed total, else 0."""
+    clean = clean_reading(text)
+    named = F.regexp_extract(clean, r"(?:合計|含計|会計|馬軒)[^0-9]{0,8}(\d{2,3})\s*人", 1)
+    return F.coalesce(F.when(named != "", named.cast("int")), printed_total(clean), F.lit(0))
 
 
 def printed_total(text: Column, low: int = 20, high: int = 200) -> Column:

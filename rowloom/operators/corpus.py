@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.functions.text import any_form, python_key, query_forms, search_key
+from rowloom.functions.text import any_form, nfkc, python_key, query_forms, search_key
 
 
 class RoutingError(ValueError):
@@ -69,24 +69,30 @@ def search_rows(entries: DataFrame, query: str, synonyms: list[tuple[str, str]],
     forms = query_forms(query, synonyms)
     hits = entries.filter(any_form(search_key(F.col("text")), forms) | any_form(search_key(F.col("title")), forms))
     rank = F.coalesce(*[F.when(F.col("title") == t, i) for i, t in enumerate(first)], F.lit(len(first)))
-    once = Window.partitionBy("chapter", "title", "kind", "text").orderBy("priority", *order)
-    kept = hits.withColumn("priority", rank).withColumn("_n", F.row_number().over(once)).filter("_n = 1").drop("_n")
+    # a minimum combines before the shuffle, so a line that stands everywhere costs no single task
+    others = [c for c in entries.columns if c not in ("chapter", "title", "kind", "text", *order)]
+    first_of = F.min(F.struct("priority", *order, *others)).alias("_first")
+    kept = hits.withColumn("priority", rank).groupBy("chapter", "title", "kind", "text").agg(first_of)
+    kept = kept.select(*[F.col(f"_first.{c}").alias(c) if c in (*order, *others) else F.col(c) for c in entries.columns], "_first.priority")
     return kept.filter(F.col("title") != excluded) if excluded else kept
 
 
 def filter_sections(sections: DataFrame, query: str) -> DataFrame:
-    """Sections with the entries that hold the query; all of them where the title does; empty sections go."""
+    """Sections with the items and rows that hold the query; all of them where the title does; empty sections go."""
     q = python_key(query)
     if not q:
         return sections
     titled = F.contains(search_key(F.col("title")), F.lit(q))
-    kept = F.when(titled, F.col("items")).otherwise(F.filter("items", lambda i: F.contains(search_key(i), F.lit(q))))
-    return sections.withColumn("items", kept).filter(F.size("items") > 0)
+    kept = {"items": F.when(titled, F.col("items")).otherwise(F.filter("items", lambda i: F.contains(search_key(i), F.lit(q))))}
+    if "rows" in sections.columns:
+        kept["rows"] = F.when(titled, F.col("rows")).otherwise(F.filter("rows", lambda r: F.contains(search_key(F.array_join(r, " ")), F.lit(q))))
+    size = sum((F.coalesce(F.size(c), F.lit(0)) for c in kept), F.lit(0))
+    return sections.withColumns(kept).filter(size > 0)
 
 
 def repeated_rows(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Keys of rows that stand more than once, white space collapsed, as JSON, with their number."""
-    clean = F.to_json(F.array(*[F.trim(F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"(?U)\s+", " ")) for c in columns]))
+    """Keys of rows that stand more than once, normalised and white space collapsed, as JSON, with their number."""
+    clean = F.to_json(F.array(*[F.trim(F.regexp_replace(nfkc(F.coalesce(F.col(c).cast("string"), F.lit(""))), r"(?U)\s+", " ")) for c in columns]))
     return rows.select(clean.alias("key")).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
 
 

@@ -5,20 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rowloom.functions.text import name_similarity
+
 #: Runner-up score where there is none.
 NONE = -9.0
 
 
-def in_blocks(queries: DataFrame, rows: DataFrame, score: Column, blocks: int = 8, top: int = 5, query: str = "query_id", row: str = "uid", tie: str = "uid") -> DataFrame:
+def in_blocks(queries: DataFrame, rows: DataFrame, score: Column, query_block: int = 2_000, row_block: int = 20_000, top: int = 5, query: str = "query_id", row: str = "uid", tie: str = "uid") -> DataFrame:
     """The ``top`` rows of each query by score, best first, with their ``place``.
 
-    A stated query set against all rows: queries are dealt to blocks by hash, rows go to every
-    block, and each pair is scored where it is made; the limit on places is applied below the
-    shuffle, so only ``top`` rows of a query leave a task. ``score`` uses the columns of both sides.
+    A stated query set against all rows: both are cut into blocks of a counted size by hash, and
+    each block of queries meets each block of rows in one task, where pairs are scored as they
+    are made. The limit on places is applied below the shuffle, so only ``top`` rows of a query
+    leave a task, and those partial tops are merged. ``score`` uses the columns of both sides.
     """
-    q = queries.withColumn("_block", F.pmod(F.xxhash64(query), F.lit(blocks)).cast("int"))
-    r = rows.withColumn("_at", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    pairs = q.join(r, F.col("_block") == F.col("_at")).drop("_block", "_at").withColumn("score", score)
+    asked, held = max(1, -(-queries.count() // query_block)), max(1, -(-rows.count() // row_block))
+    q = queries.withColumn("_q", F.pmod(F.xxhash64(query), F.lit(asked)).cast("int")).withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(held - 1))))
+    r = rows.withColumn("_rr", F.pmod(F.xxhash64(row), F.lit(held)).cast("int")).withColumn("_rq", F.explode(F.sequence(F.lit(0), F.lit(asked - 1))))
+    pairs = q.join(r, (F.col("_q") == F.col("_rq")) & (F.col("_r") == F.col("_rr"))).drop("_q", "_r", "_rq", "_rr").withColumn("score", score)
     order = Window.partitionBy(query).orderBy(F.col("score").desc(), F.col(tie))
     return pairs.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top)
 
@@ -153,7 +157,7 @@ def like_tokens(key: Column) -> Column:
 
 
 def similar_names(names: DataFrame, name: str, key: Column, least: float, similarity, tokens) -> DataFrame:
-    """Every pair of different name keys whose similarity is ``least`` or more: name_a, name_b, similarity.
+    """Every pair of different name keys, once, whose similarity is ``least`` or more: name_a, name_b, similarity.
 
     ``tokens`` makes of a key the values of which any such pair shares one; keys meet on them
     and pairs are compared once.
@@ -164,3 +168,26 @@ def similar_names(names: DataFrame, name: str, key: Column, least: float, simila
     near = (F.col("a.token") == F.col("b.token")) & (F.col("a.name_key") < F.col("b.name_key"))
     pairs = a.join(b, near).select(F.col("a.name_key").alias("name_a"), F.col("b.name_key").alias("name_b")).distinct()
     return pairs.withColumn("similarity", similarity(F.col("name_a"), F.col("name_b"))).filter(F.col("similarity") >= least)
+
+
+def text_score(name: Column, family: Column, given: Column, target: Column, target_family: Column, target_given: Column) -> Column:
+    """Struct of ``full``, ``sur``, ``giv`` and ``name``: how a read name is like a roster's, whole or by its parts; keys on both sides."""
+    full, sur, giv = name_similarity(name, target), name_similarity(family, target_family), name_similarity(given, target_given)
+    has_sur, has_giv = family != "", given != ""
+    weight = F.when(has_sur, 0.54).otherwise(0.0) + F.when(has_giv, 0.46).otherwise(0.0)
+    sur, giv = F.when(has_sur, sur).otherwise(0.0), F.when(has_giv, giv).otherwise(0.0)
+    part = (sur * 0.54 + giv * 0.46) / F.when(weight > 0, weight).otherwise(1.0)
+    return F.struct(full.alias("full"), sur.alias("sur"), giv.alias("giv"), F.greatest(full, part).alias("name"))
+
+
+def text_total(like: Column, hand: Column, position: Column, age: Column, family_off: Column, given_off: Column) -> Column:
+    """The score of a read name with what else agrees: booleans for hand, position and age, and for parts whose lengths are off by over one."""
+    bonus = F.when(hand, 0.055).otherwise(0.0) + F.when(position, 0.04).otherwise(0.0) + F.when(age, 0.008).otherwise(0.0)
+    return like["name"] * 0.88 + bonus - F.when(family_off, 0.06).otherwise(0.0) - F.when(given_off, 0.06).otherwise(0.0)
+
+
+def text_accept(like: Column, meta: Column, margin: Column, both_parts: Column) -> Column:
+    """Whether the best candidate of a read name is a match; meta: how many of hand and position agree."""
+    split = both_parts & (like["sur"] >= 0.72) & (like["giv"] >= 0.64) & (margin >= 0.02)
+    name = like["name"]
+    return ((name >= 0.90) & (margin >= 0.018)) | split | ((name >= 0.74) & (meta >= 1) & (margin >= 0.025)) | ((name >= 0.68) & (meta >= 2) & (margin >= 0.02))

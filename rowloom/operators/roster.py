@@ -72,9 +72,12 @@ def compare(records: DataFrame, chosen: DataFrame, id_column: str, slots: int =
 
 
 def correct_names(records: DataFrame, fixes: DataFrame, name: str, keys: list[str]) -> DataFrame:
-    """Names replaced where name and all keys match a fix (columns name, keys, ``new_name``); the old one stays as ``_name_orig``."""
+    """Names replaced where name and all keys match a fix (columns name, keys, ``new_name``); the old one stays as ``_name_orig``.
+
+    Of several fixes for one name and keys the smallest new name counts, so that no record is doubled.
+    """
     by = [name, *keys]
-    side = fixes.select(*[F.col(c).alias(f"_fix_{c}") for c in by], "new_name")
+    side = fixes.groupBy(*[F.col(c).alias(f"_fix_{c}") for c in by]).agg(F.min("new_name").alias("new_name"))
     joined = records.join(side, reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_fix_{c}") for c in by]), "left")
     changed = F.col("new_name").isNotNull()
     return joined.withColumns({"_name_orig": F.when(changed, F.col(name)), name: F.coalesce("new_name", name)}).drop("new_name", *[f"_fix_{c}" for c in by])

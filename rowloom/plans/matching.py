@@ -260,17 +260,17 @@ QUARTERS_SQL = "WITH " + ", ".join(candidates_sql(1 + 16 * i, 16, name=f"q{i}")
     + ", t AS ("
     + " UNION ALL ".join(f"SELECT query_id AS row, {i} AS attempt, place, uid, score FROM q{i}" for i in range(4))
     + """),
-x AS (SELECT row, attempt, min(score) - 0.12 AS stand_in FROM t GROUP BY ALL),
+x AS (SELECT row, attempt, min(score) - 0.12 AS stand_in, bool_or(place = 1 AND score >= 0.8) AS matched FROM t GROUP BY ALL),
 u AS (SELECT row, uid, count(*) FILTER (WHERE place = 1) AS votes FROM t GROUP BY ALL),
-m AS (SELECT u.row, u.uid, any_value(u.votes) AS votes, count(*) AS attempts, round(avg(coalesce(t.score, x.stand_in)), 8) AS score FROM u JOIN x ON u.row = x.row LEFT JOIN t ON t.row = u.row AND t.attempt = x.attempt AND t.uid = u.uid GROUP BY u.row, u.uid),
+m AS (SELECT u.row, u.uid, any_value(u.votes) AS votes, count(*) AS attempts, bool_or(x.matched) AS matched, round(avg(coalesce(t.score, x.stand_in)), 8) AS score FROM u JOIN x ON u.row = x.row LEFT JOIN t ON t.row = u.row AND t.attempt = x.attempt AND t.uid = u.uid GROUP BY u.row, u.uid),
 r AS (SELECT *, row_number() OVER w AS n, round(score - lead(score) OVER w, 8) AS gap FROM m WINDOW w AS (PARTITION BY row ORDER BY score DESC, uid))
-SELECT row, votes, attempts, max(score) AS score, max(gap) AS gap, bool_or(votes >= 3 AND score >= 0.66 AND gap >= 0.145 AND same_name = 1) AS accepted
+SELECT row, votes, attempts, max(score) AS score, max(gap) AS gap, bool_or(NOT matched AND votes >= 3 AND score >= 0.66 AND gap >= 0.145 AND same_name = 1) AS accepted
 FROM r JOIN s ON s.name = CASE WHEN r.uid % 5 = 0 THEN r.uid + 1 ELSE r.uid END WHERE n = 1 GROUP BY row, votes, attempts
 """,
 )
 def consensus_vote(spark, sf_dir):
     """Four quarters of the vector as attempts to read a row."""
-    attempts = [candidates(spark, sf_dir, first=1 + 16 * i, n=16).select(F.col("query_id").alias("row"), F.lit(i).alias("attempt"), "place", "uid", "score", F.lit(False).alias("matched")) for i in range(4)]
+    attempts = [candidates(spark, sf_dir, first=1 + 16 * i, n=16).select(F.col("query_id").alias("row"), F.lit(i).alias("attempt"), "place", "uid", "score", ((F.col("place") == 1) & (F.col("score") >= 0.8)).alias("matched")) for i in range(4)]
     rows = unit_vectors(spark, sf_dir).select(F.col("vec_id").alias("uid"), "name")
     names = rows.join(match.name_counts(rows, "name"), "name").select("uid", "same_name")
     found = match.consensus(reduce(DataFrame.union, attempts), names)
@@ -280,7 +280,7 @@ def consensus_vote(spark, sf_dir):
 def name_pairs_sql(similarity: str, least: float) -> str:
     return f"""
 WITH k AS (SELECT DISTINCT regexp_replace(lower(p_name || p_type), '{SIGNS}', '', 'g') AS k FROM part),
-p AS (SELECT a.k AS a, b.k AS b FROM k a JOIN k b ON a.k < b.k AND (left(a.k, 2) = left(b.k, 2) OR right(a.k, 2) = right(b.k, 2)) AND abs(len(a.k) - len(b.k)) <= 0.2 * greatest(len(a.k), len(b.k)))
+p AS (SELECT a.k AS a, b.k AS b FROM k a JOIN k b ON a.k < b.k)
 SELECT a AS name_a, b AS name_b, round({similarity}, 6) AS similarity FROM p WHERE {similarity} >= {least}
 """
 
@@ -363,9 +363,11 @@ def finished_tiers(spark, sf_dir):
     return done.select("batch", "first_index", "match", "resolved")
 
 
-@query("tier_stats", EVIDENCE_SQL + "SELECT batch, count(*) AS raw, count(*) AS unique_rows, count(match) AS confirmed, count(*) FILTER (WHERE match IS NULL AND resolved IS NOT NULL) AS tentative, count(*) FILTER (WHERE match IS NULL AND resolved IS NULL) AS pending FROM f GROUP BY batch")
+@query("tier_stats", EVIDENCE_SQL + "SELECT batch, CAST(sum(first_index % 3 + 1) AS BIGINT) AS raw, count(*) AS unique_rows, count(match) AS confirmed, count(*) FILTER (WHERE match IS NULL AND resolved IS NOT NULL) AS tentative, count(*) FILTER (WHERE match IS NULL AND resolved IS NULL) AS pending FROM f GROUP BY batch")
 def tier_stats(spark, sf_dir):
-    return tiers.statistics(tiers.finish(evidence(spark, sf_dir), "batch", _name(), F.lit(180), ["batch"]), "batch")
+    """Counts by batch; an event stands for one to three copies of a row."""
+    done = tiers.finish(evidence(spark, sf_dir), "batch", _name(), F.lit(180), ["batch"])
+    return tiers.statistics(done.withColumn("copies", F.col("first_index") % 3 + 1), "batch", raw="copies")
 
 
 @query(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
@@ -115,14 +116,24 @@ def require(records: DataFrame, name: str, source: str, rows: int, per_source: d
 
 
 def publish(records: DataFrame, path: str, gate: Callable[[DataFrame], DataFrame], meta: DataFrame | None = None) -> DataFrame:
-    """Write to a side folder, check what was written, and only then to ``path``; GateError leaves ``path`` as it was."""
-    side = f"{path}.staged"
-    records.write.mode("overwrite").parquet(side)
-    checked = gate(records.sparkSession.read.parquet(side))
-    checked.write.mode("overwrite").parquet(path)
+    """Write a new version below ``path``, check what was written, and only then point to it; read_published() reads it.
+
+    A failure at any time, GateError too, leaves the version before as it was: its files are not
+    touched, and the pointer is one row appended at the end. Versions before it stay.
+    """
+    spark, version = records.sparkSession, uuid.uuid4().hex
+    records.write.parquet(f"{path}/version-{version}")
+    gate(spark.read.parquet(f"{path}/version-{version}"))
     if meta is not None:
-        meta.write.mode("overwrite").parquet(f"{path}.meta")
-    return records.sparkSession.read.parquet(path)
+        meta.write.parquet(f"{path}/meta-{version}")
+    spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("at")).write.mode("append").parquet(f"{path}/current")
+    return spark.read.parquet(f"{path}/version-{version}")
+
+
+def read_published(spark: SparkSession, path: str, part: str = "version") -> DataFrame:
+    """What publish() last pointed to; part ``meta``: its meta table."""
+    version = spark.read.parquet(f"{path}/current").agg(F.max_by("version", "at")).first()[0]
+    return spark.read.parquet(f"{path}/{part}-{version}")
 
 
 def first_valid(spark: SparkSession, paths: list[tuple[str, str]], gate: Callable[[DataFrame], DataFrame], fallback: DataFrame) -> DataFrame:

@@ -167,9 +167,16 @@ def test_gates(spark, tmp_path):
     assert ingest.publish(rows, path, gate(3)).count() == 3
     with pytest.raises(ingest.GateError):
         ingest.publish(rows.limit(2), path, gate(3))
-    assert spark.read.parquet(path).count() == 3
-    found = ingest.first_valid(spark, [("gone", str(tmp_path / "none")), ("wrong", path), ("right", path)], gate(3), rows)
-    assert found.first()["_provenance"] == "wrong"
+    assert ingest.read_published(spark, path).count() == 3
+    more = rows.withColumn("name", F.upper("name"))
+    ingest.publish(more, path, gate(3), meta=spark.createDataFrame([(3,)], "n int"))
+    assert {r["name"] for r in ingest.read_published(spark, path).collect()} == {"A", "B", "C"}
+    assert ingest.read_published(spark, path, "meta").first()["n"] == 3
+    few, right = str(tmp_path / "few"), str(tmp_path / "right")
+    rows.limit(2).write.parquet(few)
+    rows.write.parquet(right)
+    found = ingest.first_valid(spark, [("gone", str(tmp_path / "none")), ("wrong", few), ("right", right)], gate(3), rows)
+    assert found.first()["_provenance"] == "right"
     assert ingest.first_valid(spark, [("gone", str(tmp_path / "none"))], gate(3), rows).first()["_provenance"] == "fallback sample"
 
 
