@@ -129,7 +129,8 @@ def search_column(columns: dict[str, Column], labels: dict[str, str] | None = No
 
 def python_key(text: str) -> str:
     """search_key() of a literal, for queries that are known when the plan is made."""
-    return re.sub(r"[\s" + re.escape(IGNORED) + "]", "", unicodedata.normalize("NFKC", text or "").lower())
+    # the four information separators are white space to Python alone
+    return re.sub(r"[^\S\x1c-\x1f]|[" + re.escape(IGNORED) + "]", "", unicodedata.normalize("NFKC", text or "").lower())
 
 
 def query_forms(query: str, pairs: list[tuple[str, str]]) -> list[str]:
