@@ -10,6 +10,8 @@ from functools import cache, reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rowloom.functions.numbers import let
+
 #: Characters that search ignores besides white space (fixed values).
 IGNORED = "　・·･,，。./／()（）-–—_:：;；'\"「」『』【】[]"
 #: Variant characters and what they fold to, in two directions that differ (fixed values).
@@ -44,11 +46,11 @@ def _compatibility() -> tuple[str, str, dict[str, str], dict[str, str]]:
     return "".join(single), "".join(single.values()), several, pairs
 
 
-def _class_of(chars: set[str]) -> str:
-    """A regular expression's class of the characters, neighbours as ranges."""
+def _class_of(chars: set[str], gap: int = 1) -> str:
+    """A regular expression's class of the characters as ranges, over gaps below ``gap`` too: few ranges are tested fast."""
     codes, runs = sorted(map(ord, chars)), []
     for c in codes:
-        if runs and c == runs[-1][1] + 1:
+        if runs and c <= runs[-1][1] + gap:
             runs[-1][1] = c
         else:
             runs.append([c, c])
@@ -58,33 +60,24 @@ def _class_of(chars: set[str]) -> str:
 def nfkc(text: Column) -> Column:
     """Compatibility normalisation, which Spark lacks, of single characters and of characters with up to two marks.
 
-    Native: one translation for characters that become one other; only texts that hold
-    characters which become several, or combining marks, look those up.
+    Native: one translation for characters that become one other, lookups for those that become
+    several and for marks. Texts without any of these, found by a coarse class, stay as they are.
     """
     single, made, several, pairs = _compatibility()
-    one = F.translate(text, single, made)
-    wide = _class_of(set(several))
-    spread = F.aggregate(
-        F.array_distinct(F.regexp_extract_all(one, F.lit(wide), F.lit(0))),
-        one,
-        lambda acc, c: F.replace(acc, c, F.coalesce(F.try_element_at(F.from_json(F.lit(_json(several)), "map<string,string>"), c), c)),
-    )
-    one = F.when(one.rlike(wide), spread).otherwise(one)
-    marks = _class_of({p[1] for p in pairs})
+    marks = {p[1] for p in pairs}
+    coarse = _class_of({*single, *several, *marks}, 64)
 
-    def composed(t: Column) -> Column:
-        joined = F.aggregate(
-            F.array_distinct(F.regexp_extract_all(t, F.lit(f"(?s).{marks}"), F.lit(0))),
-            t,
-            lambda acc, c: F.replace(acc, c, F.coalesce(F.try_element_at(F.from_json(F.lit(_json(pairs)), "map<string,string>"), c), c)),
-        )
-        return F.when(t.rlike(marks), joined).otherwise(t)
-
-    return composed(composed(one))
+    def looked_up(t: Column, pattern: str, table: dict[str, str]) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)))
+        of = F.from_json(F.lit(json.dumps(table, ensure_ascii=False)), "map<string,string>")
+        return F.aggregate(found, t, lambda acc, c: F.replace(acc, c, F.coalesce(F.try_element_at(of, c), c)))
 
+    def composed(t: Column) -> Column:
+        return looked_up(t, f"(?s).{_class_of(marks)}", pairs)
 
-def _json(table: dict[str, str]) -> str:
-    return json.dumps(table, ensure_ascii=False)
+    # each step's result is bound once, as a plain reference would be computed anew at every use
+    steps = let(F.translate(text, single, made), lambda t: let(looked_up(t, _class_of(set(several)), several), lambda u: let(composed(u), composed)))
+    return F.when(text.rlike(f"[\\x{{80}}-\\x{{10FFFF}}&&{coarse}]"), steps).otherwise(text)
 
 
 def fold_width(text: Column) -> Column:
@@ -95,8 +88,7 @@ def fold_width(text: Column) -> Column:
 def search_key(text: Column) -> Column:
     """Normalised by nfkc(), lower case, without white space and ignored signs; null gives the empty string."""
     text = F.coalesce(text.cast("string"), F.lit(""))
-    # ASCII texts, most of many tables, have nothing to normalise
-    return F.regexp_replace(F.lower(F.when(text.rlike(r"[^\x00-\x7F]"), nfkc(text)).otherwise(text)), _CLASS, "")
+    return F.regexp_replace(F.lower(nfkc(text)), _CLASS, "")
 
 
 def name_key(text: Column) -> Column:
