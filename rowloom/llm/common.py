@@ -61,6 +61,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unstage(*frames: DataFrame) -> None:
+    """Delete the files of staged tables that nothing will read any more."""
+    for df in frames:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            delete(df.sparkSession, folder)
+
+
 def spread_join(big: DataFrame, small: DataFrame, keys: list[str], count: str, by: Column, heavy: int = 100_000) -> DataFrame:
     """``big`` joined with ``small`` on ``keys``, where ``small`` has one row for each key and ``count``, how many rows of ``big`` hold it.
 
