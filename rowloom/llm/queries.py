@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm import ann, lines, media, mixing, pieces, pii, quality, secrets, simhash, toxicity
+from rowloom.llm import ann, chat, lines, media, mixing, periods, pieces, pii, quality, secrets, simhash, toxicity, whiten
 from rowloom.llm.common import staged, table, word_count
 
 
@@ -57,5 +57,40 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op10_toxicity": op10_toxicity, "op1_simhash": op1_simhash, "op2_quality": op2_quality, "op3_media": op3_media, "op4_pieces": op4_pieces, "op5_pii": op5_pii, "op9_secrets": op9_secrets, "op6_mixing": op6_mixing, "op7_nearest": op7_nearest, "op8_line_dedup": op8_line_dedup}
-ORACLES = {"op6_mixing": mixing.MIX_SQL, "op8_line_dedup": lines.LINES_SQL}
+def op11_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    control = [(-7, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))]
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    messages = chat.as_trees(rows.unionByName(spark.createDataFrame(control, "conv_id long, turn long, role string, text string")))
+    read = chat.read_back(chat.format_paths(chat.best_paths(messages, top=1)))
+    turn = lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))
+    loss = F.array_join("loss_texts", "")
+    return read.select(
+        F.col("tree").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("turns", turn), ""), 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periods.planted(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periods.find_runs(docs).withColumn("best", periods.strongest(F.col("runs")))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.*",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op10_toxicity": op10_toxicity, "op1_simhash": op1_simhash, "op11_reply_trees": op11_reply_trees, "op12_runs": op12_runs, "op13_whitening": op13_whitening, "op2_quality": op2_quality, "op3_media": op3_media, "op4_pieces": op4_pieces, "op5_pii": op5_pii, "op9_secrets": op9_secrets, "op6_mixing": op6_mixing, "op7_nearest": op7_nearest, "op8_line_dedup": op8_line_dedup}
+ORACLES = {"op11_reply_trees": chat.CHAT_SQL, "op6_mixing": mixing.MIX_SQL, "op8_line_dedup": lines.LINES_SQL}
