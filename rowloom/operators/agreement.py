@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def pick_attempt(attempts: DataFrame, row: str = "row") -> DataFrame:
-    """The attempt to trust of each row: row, uid, score, margin, matched, rule.
+    """The attempt to trust of each row: row, uid, score, margin, matched, step, rule.
 
     attempts: row, ``step`` (order of trial), uid, score, margin and ``matched``; attempts
     without a score don't count. A first attempt that is a match from 0.70 with a margin from 0.18 ends
@@ -15,7 +15,7 @@ def pick_attempt(attempts: DataFrame, row: str = "row") -> DataFrame:
     0.055 of it that has the same uid wins (``confirmed``), and else the best (``best``). Of equals the earlier wins.
     """
     real = attempts.filter(F.col("score").isNotNull() & ~F.isnan("score"))
-    whole = F.struct("uid", "score", "margin", "matched")
+    whole = F.struct("uid", "score", "margin", "matched", "step")
     order = F.struct(F.col("score"), -F.col("step"))
     per = real.groupBy(row).agg(
         F.max_by(whole, F.when((F.col("step") == 0) & F.col("matched") & (F.col("score") >= 0.70) & (F.col("margin") >= 0.18), order)).alias("first"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowloom.functions.text import name_similarity
+from rowloom.operators.written import written
 
 #: Runner-up score where there is none.
 NONE = -9.0
@@ -103,29 +104,35 @@ def corroborate(base: Column, a: Column, b: Column, same_name: Column, independe
 
 
 def consensus(candidates: DataFrame, same_names: DataFrame, top: int = 5) -> DataFrame:
-    """Per row the pooled best over its attempts: row, uid, score, gap, votes, attempts, accepted.
+    """Per row the pooled best over its attempts and what follows: row, uid, score, gap, votes, attempts, accepted, attempt, chosen_uid, chosen_score.
 
-    candidates: row, attempt, place, uid, score, ``matched``. An attempt that lacks a candidate
-    counts for it 0.12 below its own last one. Accepted: three attempts or more, none with a
+    candidates: row, attempt, place, uid, score, ``matched`` (whether the attempt's first candidate is a match). An attempt that lacks a candidate
+    counts for it 0.12 below its own last one. Accepted: three attempts or more, the best of them (of equals the earliest) no
     match, votes of three quarters of them (three at least), score from 0.66, gap from 0.145 and
-    a unique name (same_names: uid, same_name). Sums over attempts replace the cross of
+    a unique name (same_names: uid, same_name). Where that holds, the pooled best is chosen, with the best
+    attempt that has it first; else the best attempt, which may be a match. A match in a lesser attempt blocks nothing. Sums over attempts replace the cross of
     attempts with candidates: the pooled score is the sum of what is there plus the sum of all
     attempts' stand-ins less those of the attempts that have the candidate.
     """
     first = candidates.filter(F.col("place") <= top)
-    attempts = candidates.groupBy("row", "attempt").agg((F.min_by("score", -F.col("place")) - 0.12).alias("stand_in"), F.max("matched").alias("matched"))
-    totals = attempts.groupBy("row").agg(F.sum("stand_in").alias("all_stand_in"), F.count("*").alias("attempts"), F.max("matched").alias("matched"))
+    lead = F.min_by(F.struct("score", "uid", F.coalesce("matched", F.lit(False)).alias("matched")), "place")
+    attempts = candidates.groupBy("row", "attempt").agg((F.min_by("score", -F.col("place")) - 0.12).alias("stand_in"), lead.alias("lead"))
+    order = F.struct(F.col("lead.score"), -F.col("attempt"))
+    totals = attempts.groupBy("row").agg(F.sum("stand_in").alias("all_stand_in"), F.count("*").alias("attempts"), F.max_by(F.struct("attempt", "lead"), order).alias("best"))
     known = first.select("row", "uid").distinct().withColumnsRenamed({"row": "_r", "uid": "_u"})
     full = candidates.join(known, (F.col("row") == F.col("_r")) & (F.col("uid") == F.col("_u"))).drop("_r", "_u")
     full = full.join(attempts.select(F.col("row").alias("_r"), F.col("attempt").alias("_a"), "stand_in"), (F.col("row") == F.col("_r")) & (F.col("attempt") == F.col("_a")))
-    pooled = full.groupBy("row", "uid").agg(F.sum(F.col("score") - F.col("stand_in")).alias("above"), F.count_if(F.col("place") == 1).alias("votes"))
+    supporting = F.max_by("attempt", F.when(F.col("place") == 1, F.struct(F.col("score"), -F.col("attempt"))))
+    pooled = full.groupBy("row", "uid").agg(F.sum(F.col("score") - F.col("stand_in")).alias("above"), F.count_if(F.col("place") == 1).alias("votes"), supporting.alias("supporting"))
     pooled = pooled.join(totals, "row").withColumn("score", F.round((F.col("above") + F.col("all_stand_in")) / F.col("attempts"), 8))
     best = Window.partitionBy("row").orderBy(F.col("score").desc(), "uid")
     ranked = pooled.withColumns({"n": F.row_number().over(best), "gap": F.col("score") - F.coalesce(F.lead("score").over(best), F.lit(NONE))}).filter("n = 1")
     ranked = ranked.join(same_names, "uid", "left")
     enough = F.col("votes") >= F.greatest(F.lit(3), F.ceil(F.col("attempts") * 0.75))
-    accepted = (F.col("attempts") >= 3) & ~F.col("matched") & enough & (F.col("score") >= 0.66) & (F.col("gap") >= 0.145) & (F.col("same_name") == 1)
-    return ranked.select("row", "uid", "score", "gap", "votes", "attempts", F.coalesce(accepted, F.lit(False)).alias("accepted"))
+    accepted = (F.col("attempts") >= 3) & ~F.col("best.lead.matched") & enough & (F.col("score") >= 0.66) & (F.round("gap", 8) >= 0.145) & (F.col("same_name") == 1)
+    ranked = ranked.withColumn("accepted", F.coalesce(accepted, F.lit(False)))
+    of = lambda yes, no: F.when(F.col("accepted"), F.col(yes)).otherwise(F.col(no))
+    return ranked.select("row", "uid", "score", "gap", "votes", "attempts", "accepted", of("supporting", "best.attempt").alias("attempt"), of("uid", "best.lead.uid").alias("chosen_uid"), of("score", "best.lead.score").alias("chosen_score"))
 
 
 def gated_pool(queries: DataFrame, rows: DataFrame, gate: str, least: int = 10) -> DataFrame:
@@ -135,39 +142,103 @@ def gated_pool(queries: DataFrame, rows: DataFrame, gate: str, least: int = 10)
     return joined.withColumn("gate", F.when(F.col("pool") > least, F.col(gate))).drop("_g")
 
 
-def dice_tokens(key: Column) -> Column:
-    """Characters of which two keys share one if the Dice coefficient of their character sets is 0.8 or more.
+def _chars(key: Column) -> Column:
+    return F.filter(F.split(key, ""), lambda c: c != "")
 
-    Such sets share two thirds of either or more, so the first third and one of each, in one
-    order for all keys, have a character in common (prefix filter).
-    """
-    letters = F.array_distinct(F.filter(F.split(key, ""), lambda c: c != ""))
-    return F.slice(F.reverse(F.array_sort(letters)), F.lit(1), F.size(letters) - F.ceil(F.size(letters) * 2 / 3).cast("int") + 1)
 
+def letter_set(key: Column) -> Column:
+    """The different characters of a key."""
+    return F.array_distinct(_chars(key))
 
-def like_tokens(key: Column) -> Column:
-    """Numbered characters of which two keys share one if their name similarity is 0.7 or more.
 
-    With c characters in common, repeats counted, the edit distance is at least the longer
-    length less c. At 0.7 that makes c more than 0.66 of either length.
+def letter_bag(key: Column) -> Column:
+    """The characters of a key with the number of their occurrence, so that shared elements count repeats."""
+    letters = _chars(key)
+    return F.transform(letters, lambda c, i: F.concat(c, F.size(F.filter(F.slice(letters, F.lit(1), i + 1), lambda x: x == c)).cast("string")))
+
+
+def rare_first(bags: DataFrame, bag: str) -> DataFrame:
+    """``bags`` with the elements of ``bag``, which tells rows apart, put in one order for all: rare ones first, by how many bags hold them."""
+    cells = bags.select(bag, F.explode(bag).alias("_e"))
+    counts = cells.groupBy("_e").agg(F.count("*").alias("_n"))  # a row for each element of the alphabet
+    put = cells.join(counts, "_e").groupBy(bag).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_e"))), lambda x: x["_e"]).alias("_put"))
+    return bags.join(put, bag).drop(bag).withColumnRenamed("_put", bag)
+
+
+def sharing_bags(bags: DataFrame, share: float, bound, together: int = 4) -> DataFrame:
+    """Pairs of bags whose ``bound`` passes: bag_a, bag_b, common (number of shared elements).
+
+    bags: one column ``bag``, an array of elements in one order for all; ``bound(common, size_a, size_b)`` has to imply
+    that the shared elements are at least ``share`` of either size. Two bags that share c elements of n
+    have ``together`` of them among the first n - c + together, so bags meet on
+    combinations of so many of their first elements (prefix filter), rare ones as these stand first. A pair is made at its first
+    common combination only, and passes the bound inside the join, so none is made twice. Bags too small to
+    owe that many shared elements meet on single ones among themselves.
     """
-    letters = F.filter(F.split(key, ""), lambda c: c != "")
-    bag = F.transform(letters, lambda c, i: F.concat(c, F.size(F.filter(F.slice(letters, F.lit(1), i + 1), lambda x: x == c)).cast("string")))
-    return F.slice(F.reverse(F.array_sort(bag)), F.lit(1), F.size(bag) - F.ceil(F.size(bag) * 0.66).cast("int") + 1)
+    size, need = F.size("bag"), F.ceil(F.size("bag") * share - 1e-9).cast("int")
+    first = F.slice("bag", F.lit(1), F.least(size, size - F.greatest(need, F.lit(together)) + together))
+    combos = F.transform(first, lambda e: F.array(e))
+    for _ in range(together - 1):
+        combos = F.flatten(F.transform(combos, lambda c: F.transform(F.slice(first, F.array_position(first, F.element_at(c, -1)).cast("int") + 1, F.size(first)), lambda e: F.array_append(c, e))))
+    large = bags.filter(size >= together).select("bag", F.explode(combos).alias("combo"))
+    few = bags.filter(need < together).select("bag", F.explode(F.transform(F.slice("bag", F.lit(1), size - need + 1), lambda e: F.array(e))).alias("combo"))
+
+    def met(side: DataFrame, n: int) -> DataFrame:
+        a, b = side.alias("a"), side.alias("b")
+        shared = F.array_intersect(F.col("a.bag"), F.col("b.bag"))
+        same = (F.col("a.combo") == F.col("b.combo")) & (F.col("a.bag") < F.col("b.bag"))
+        near = F.least(F.size("a.bag"), F.size("b.bag")) >= F.greatest(F.size("a.bag"), F.size("b.bag")) * share - 1e-9
+        owes = bound(F.size(shared), F.size("a.bag"), F.size("b.bag"))
+        pairs = a.join(b, same & near & owes & (F.slice(shared, 1, n) == F.col("a.combo")))
+        return pairs.select(F.col("a.bag").alias("bag_a"), F.col("b.bag").alias("bag_b"), F.size(shared).alias("common"))
+
+    found = met(large, together)
+    return found.unionByName(met(few, 1).filter(F.col("common") < together)) if together > 1 else found
 
 
-def similar_names(names: DataFrame, name: str, key: Column, least: float, similarity, tokens) -> DataFrame:
-    """Every pair of different name keys, once, whose similarity is ``least`` or more: name_a, name_b, similarity.
+def _in_order(keys: DataFrame) -> DataFrame:
+    """name_key with its bag in the order of rare_first(), written once; keys: name_key and a sorted bag."""
+    keys = written(keys, "name-bags")
+    ordered = rare_first(keys.select("bag").distinct().withColumn("sorted", F.col("bag")), "bag")
+    return written(keys.join(ordered.withColumnRenamed("bag", "put"), F.col("bag") == F.col("sorted")).select("name_key", F.col("put").alias("bag")), "ordered-bags")
 
-    ``tokens`` makes of a key the values of which any such pair shares one; keys meet on them
-    and pairs are compared once.
+
+def alike_names(names: DataFrame, key: Column, least: float = 0.7) -> DataFrame:
+    """Every pair of different name keys, once, whose name_similarity() is ``least`` (0.7 or more) or more: name_a, name_b, similarity.
+
+    With c characters in common, repeats counted, the edit distance is at least the longer
+    length less c, which bounds the similarity; at 0.7 it makes c 0.66 of either length at least.
     """
-    keys = names.select(key.alias("name_key")).filter("name_key <> ''").distinct()
-    met = keys.select("name_key", F.explode(tokens(F.col("name_key"))).alias("token"))
-    a, b = met.alias("a"), met.alias("b")
-    near = (F.col("a.token") == F.col("b.token")) & (F.col("a.name_key") < F.col("b.name_key"))
-    pairs = a.join(b, near).select(F.col("a.name_key").alias("name_a"), F.col("b.name_key").alias("name_b")).distinct()
-    return pairs.withColumn("similarity", similarity(F.col("name_a"), F.col("name_b"))).filter(F.col("similarity") >= least)
+    if least < 0.7:
+        raise ValueError("shared characters bound similarities from 0.7 on")
+    keys = names.select(key.alias("name_key")).filter("name_key <> ''").distinct().withColumn("bag", F.array_sort(letter_bag(F.col("name_key"))))
+    of = _in_order(keys)
+
+    def bound(c: Column, a: Column, b: Column) -> Column:
+        return c / F.greatest(a, b) * 0.72 + 2 * c / (a + b) * 0.28 >= least - 1e-9
+
+    return _named_pairs(of, sharing_bags(of.select("bag").distinct(), 0.66, bound), lambda a, b, _: name_similarity(a, b), least)
+
+
+def dice_names(names: DataFrame, key: Column, least: float = 0.8) -> DataFrame:
+    """Every pair of different name keys, once, whose character sets have a Dice coefficient of ``least`` or more: name_a, name_b, similarity."""
+    keys = names.select(key.alias("name_key")).filter("name_key <> ''").distinct().withColumn("bag", F.array_sort(letter_set(F.col("name_key"))))
+    of = _in_order(keys)
+    dice = lambda c, a, b: 2.0 * c / (a + b)
+    # of two sets of a coefficient d, c is d / (2 - d) of the larger one at least
+    pairs = sharing_bags(of.select("bag").distinct(), least / (2 - least), lambda c, a, b: dice(c, a, b) >= least)
+    return _named_pairs(of, pairs, lambda a, b, row: dice(row["common"], F.size(row["bag_a"]), F.size(row["bag_b"])), least)
+
+
+def _named_pairs(of: DataFrame, pairs: DataFrame, similarity, least: float) -> DataFrame:
+    """Names of equal bags, and names of the bags of each pair, that pass: name_a, name_b, similarity."""
+    same = of.select("bag", "bag", F.size("bag")).toDF("bag_a", "bag_b", "common").distinct()
+    whole = pairs.unionByName(same)
+    one, two = of.select(F.col("name_key").alias("x"), F.col("bag").alias("_a")), of.select(F.col("name_key").alias("y"), F.col("bag").alias("_b"))
+    made = whole.join(one, F.col("bag_a") == F.col("_a")).join(two, (F.col("bag_b") == F.col("_b")) & ((F.col("bag_a") != F.col("bag_b")) | (F.col("x") < F.col("y"))))
+    named = made.withColumns({"name_a": F.least("x", "y"), "name_b": F.greatest("x", "y")})
+    row = {c: F.col(c) for c in ("common", "bag_a", "bag_b")}
+    return named.select("name_a", "name_b", similarity(F.col("name_a"), F.col("name_b"), row).alias("similarity")).filter(F.col("similarity") >= least)
 
 
 def text_score(name: Column, family: Column, given: Column, target: Column, target_family: Column, target_given: Column) -> Column:

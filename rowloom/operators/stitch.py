@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rowloom.operators.agreement import overlap_score
+
 #: Thresholds of the overlap rules (fixed values).
 ONE_ROW, MEAN, LEAST = 0.89, 0.77, 0.72
 LONGEST = 11
@@ -27,8 +29,8 @@ def page_pairs(rows: DataFrame) -> DataFrame:
     return pages.withColumn("next", following).select("batch", "page", "size", "tab", F.col("next.page").alias("next_page"), F.col("next.size").alias("next_size"), F.col("next.tab").alias("next_tab"))
 
 
-def overlap_options(rows: DataFrame, score: Column, longest: int = LONGEST) -> DataFrame:
-    """For each page and k the mean and least score of the k row pairs at its end; ``score`` compares a.payload with b.payload."""
+def row_pairs(rows: DataFrame, longest: int) -> DataFrame:
+    """For each page and k the k pairs of its last rows with the next page's first: batch, page, k, a and b (structs of payload)."""
     pairs = page_pairs(rows).filter("next_page is not null").filter(F.col("tab").isNull() | F.col("next_tab").isNull() | (F.col("tab") == F.col("next_tab")))
     ks = pairs.withColumn("k", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), "size", "next_size").cast("int"))))
     cells = ks.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("batch", "page", "next_page", "k", (F.col("size") - F.col("k") + F.col("j") + 1).alias("row_a"), (F.col("j") + 1).alias("row_b"))
@@ -36,7 +38,12 @@ def overlap_options(rows: DataFrame, score: Column, longest: int = LONGEST) -> D
     b = rows.select(F.col("batch").alias("_bb"), F.col("page").alias("_pb"), F.col("row").alias("_rb"), F.struct("payload").alias("b"))
     joined = cells.join(a, (F.col("batch") == F.col("_ba")) & (F.col("page") == F.col("_pa")) & (F.col("row_a") == F.col("_ra")))
     joined = joined.join(b, (F.col("batch") == F.col("_bb")) & (F.col("next_page") == F.col("_pb")) & (F.col("row_b") == F.col("_rb")))
-    return joined.select("batch", "page", "k", score.alias("s")).groupBy("batch", "page", "k").agg(F.avg("s").alias("mean"), F.min("s").alias("least"))
+    return joined.select("batch", "page", "k", "row_a", "row_b", "a", "b")
+
+
+def overlap_options(rows: DataFrame, score: Column, longest: int = LONGEST) -> DataFrame:
+    """For each page and k the mean and least score of the k row pairs at its end; ``score`` compares a.payload with b.payload."""
+    return row_pairs(rows, longest).select("batch", "page", "k", score.alias("s")).groupBy("batch", "page", "k").agg(F.avg("s").alias("mean"), F.min("s").alias("least"))
 
 
 def accepted_overlaps(options: DataFrame) -> DataFrame:
@@ -74,19 +81,55 @@ def stitch(rows: DataFrame, score: Column, quality: Column | None = None) -> Dat
     return unique_rows(positions(rows, overlaps), F.lit(0) if quality is None else quality)
 
 
-def planned_overlaps(scores: dict[int, dict[int, float]], total: int) -> dict[int, int]:
-    """One overlap for each boundary so that they sum to ``total`` with the largest sum of score times k, if any do.
+def planned_options(rows: DataFrame, visual: Column, agree: Column, longest: int = 10) -> DataFrame:
+    """Overlaps that a boundary may have: batch, page, k, score, strict; k = 0 isn't listed.
 
-    A small dynamic programme over boundaries; scores: boundary, then k, then score.
+    ``visual`` and ``agree`` compare a.payload with b.payload. Any conflict (agreement below 0) rules a k out.
+    Strict ones look alike throughout; supported ones, of two rows or more, are backed by
+    agreement and cost 0.035. Scores have nine decimals.
+    """
+    total = overlap_score(visual, agree)
+    per = row_pairs(rows, longest).select("batch", "page", "k", total.alias("s"), agree.alias("g")).groupBy("batch", "page", "k").agg(F.round(F.avg("s"), 9).alias("mean"), F.min("s").alias("least"), F.round(F.avg("g"), 9).alias("agree"), F.min("g").alias("worst"))
+    strict = F.when(F.col("k") == 1, F.col("mean") >= 0.985).otherwise((F.col("mean") >= 0.90) & (F.col("least") >= 0.79))
+    supported = (F.col("k") >= 2) & (F.col("mean") >= 0.77) & (F.col("least") >= 0.68) & (F.col("agree") >= 0.18)
+    kept = per.filter((F.col("worst") >= 0) & (strict | supported))
+    return kept.select("batch", "page", "k", F.round(F.col("mean") - F.when(strict, 0.0).otherwise(0.035), 9).alias("score"), strict.alias("strict"))
+
+
+def plan_overlaps(rows: DataFrame, options: DataFrame, expected: DataFrame) -> DataFrame:
+    """One overlap for each boundary: batch, need, planned, ks (in order of the pages).
+
+    expected: batch, total (null or 0: unknown). The overlaps have to sum to ``need``, the rows
+    that are too many; of such plans the one with the largest sum of score times k is taken, and
+    of equal ones that whose later boundaries take the option listed first. An ordered fold over a
+    batch's boundaries keeps, for each sum up to ``need``, its best score and plan, so a batch costs
+    boundaries times need times options. Where no plan reaches ``need``, or it is 0, each
+    boundary takes its first overlap: strict ones first, then by score, then the longer one.
     """
-    best: dict[int, tuple[float, dict[int, int]]] = {0: (0.0, {})}
-    for boundary in sorted(scores):
-        after: dict[int, tuple[float, dict[int, int]]] = {}
-        for used, (value, plan) in best.items():
-            for k, s in {0: 0.0, **scores[boundary]}.items():
-                if used + k <= total and (value + s * k > after.get(used + k, (-1.0, {}))[0]):
-                    after[used + k] = (value + s * k, {**plan, boundary: k})
-        best = after
-    if total in best:
-        return best[total][1]
-    return {b: max(o, key=lambda k: (o[k] * k, k)) if o else 0 for b, o in scores.items()}
+    pages = page_pairs(rows)
+    rank = F.struct((~F.col("strict")).alias("loose"), (-F.col("score")).alias("down"), (-F.col("k")).alias("short"), F.col("k"), F.col("score"))
+    none = F.struct(F.lit(0).alias("k"), F.lit(0.0).alias("score"))
+    listed = options.groupBy(F.col("batch").alias("_b"), F.col("page").alias("_p")).agg(F.transform(F.array_sort(F.collect_list(rank)), lambda o: F.struct(o["k"].alias("k"), o["score"].alias("score"))).alias("listed"))
+    bounds = pages.filter("next_page is not null").join(listed, F.col("batch").eqNullSafe(F.col("_b")) & (F.col("page") == F.col("_p")), "left").drop("_b", "_p")
+    whole = F.concat(F.coalesce("listed", F.array().cast("array<struct<k:int,score:double>>")), F.array(none))
+    per = bounds.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("page", whole.alias("options")))).alias("bounds"))
+    sizes = pages.groupBy("batch").agg(F.sum("size").alias("size"))
+    need = F.when(F.coalesce("total", F.lit(0)) > 0, F.greatest(F.lit(0), F.col("size") - F.col("total"))).otherwise(0).cast("int")
+    joined = sizes.join(expected.select(F.col("batch").alias("_b"), "total"), F.col("batch").eqNullSafe(F.col("_b")), "left").drop("_b").withColumn("need", need)
+    joined = joined.join(per.withColumnRenamed("batch", "_b"), F.col("batch").eqNullSafe(F.col("_b")), "left").withColumn("bounds", F.coalesce("bounds", F.array().cast(per.schema["bounds"].dataType)))
+    state = "struct<score:double,ks:array<int>>"
+    sums = F.sequence(F.lit(0), F.col("need"))
+    start = F.transform(sums, lambda s: F.when(s == 0, F.struct(F.lit(0.0).alias("score"), F.array().cast("array<int>").alias("ks"))).cast(state))
+
+    def better(best: Column, before: Column, o: Column) -> Column:
+        score = before["score"] + o["score"] * o["k"]
+        wins = before.isNotNull() & (best.isNull() | (score > best["score"]))
+        return F.when(wins, F.struct(score.alias("score"), F.array_append(before["ks"], o["k"]).alias("ks")).cast(state)).otherwise(best)
+
+    def step(acc: Column, bound: Column) -> Column:
+        return F.transform(sums, lambda s: F.reduce(bound["options"], F.lit(None).cast(state), lambda best, o: better(best, F.get(acc, s - o["k"]), o)))
+
+    plan = F.get(F.reduce("bounds", start, step), F.col("need"))
+    own = F.transform("bounds", lambda b: F.get(b["options"], 0)["k"])
+    planned = (F.col("need") > 0) & F.col("plan").isNotNull()
+    return joined.withColumn("plan", plan).select("batch", "need", planned.alias("planned"), F.when(planned, F.col("plan.ks")).otherwise(own).alias("ks"))

@@ -86,14 +86,3 @@ def merge_evidence(rows: DataFrame, key: str, order: str, scalar: str, tag: str,
         F.min(order).alias("first_index"),
         F.count("*").alias("n"),
     )
-
-
-def assign_greedily(pairs: list[tuple[str, str, float]]) -> dict[str, str]:
-    """Row to candidate, best quality first, each used once; for one batch's few open pairs."""
-    rows: dict[str, str] = {}
-    used: set[str] = set()
-    for row, candidate, _ in sorted(pairs, key=lambda p: (-p[2], p[0], p[1])):
-        if row not in rows and candidate not in used:
-            rows[row] = candidate
-            used.add(candidate)
-    return rows

@@ -20,6 +20,13 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written below the shared folder and read back, so that several branches use it and none computes it anew."""
+    folder = work_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def with_place(rows: DataFrame, order: list[Column], place: str = "place", rows_a_range: int = 1_000_000) -> DataFrame:
     """``rows`` with their ``place``, from 1, in the order of all of them; ``order`` has to tell rows apart.
 

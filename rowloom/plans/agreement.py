@@ -117,7 +117,7 @@ def attempt_choice(spark, sf_dir):
     """The lines of an order as attempts to read a row."""
     score = F.when(F.col("l_quantity") != 50, F.round(0.5 + F.col("l_discount") * 4, 4))
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("row"), (F.row_number().over(in_order()) - 1).alias("step"), (F.col("l_suppkey") % 4).alias("uid"), score.alias("score"), F.round(F.col("l_tax") * 3, 4).alias("margin"), (F.col("l_returnflag") == "R").alias("matched"))
-    return agreement.pick_attempt(lines)
+    return agreement.pick_attempt(lines).drop("step")
 
 
 CASCADE_SQL = f"""

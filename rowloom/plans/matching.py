@@ -260,12 +260,13 @@ QUARTERS_SQL = "WITH " + ", ".join(candidates_sql(1 + 16 * i, 16, name=f"q{i}")
     + ", t AS ("
     + " UNION ALL ".join(f"SELECT query_id AS row, {i} AS attempt, place, uid, score FROM q{i}" for i in range(4))
     + """),
-x AS (SELECT row, attempt, min(score) - 0.12 AS stand_in, bool_or(place = 1 AND score >= 0.8) AS matched FROM t GROUP BY ALL),
-u AS (SELECT row, uid, count(*) FILTER (WHERE place = 1) AS votes FROM t GROUP BY ALL),
-m AS (SELECT u.row, u.uid, any_value(u.votes) AS votes, count(*) AS attempts, bool_or(x.matched) AS matched, round(avg(coalesce(t.score, x.stand_in)), 8) AS score FROM u JOIN x ON u.row = x.row LEFT JOIN t ON t.row = u.row AND t.attempt = x.attempt AND t.uid = u.uid GROUP BY u.row, u.uid),
-r AS (SELECT *, row_number() OVER w AS n, round(score - lead(score) OVER w, 8) AS gap FROM m WINDOW w AS (PARTITION BY row ORDER BY score DESC, uid))
-SELECT row, votes, attempts, max(score) AS score, max(gap) AS gap, bool_or(NOT matched AND votes >= 3 AND score >= 0.66 AND gap >= 0.145 AND same_name = 1) AS accepted
-FROM r JOIN s ON s.name = CASE WHEN r.uid % 5 = 0 THEN r.uid + 1 ELSE r.uid END WHERE n = 1 GROUP BY row, votes, attempts
+x AS (SELECT row, attempt, min(score) - 0.12 AS stand_in, max(score) AS lead, arg_min(uid, place) AS lead_uid FROM t GROUP BY ALL),
+b AS (SELECT row, arg_max({'uid': lead_uid, 'score': lead, 'attempt': attempt, 'matched': lead >= 0.8}, lead - attempt * 1e-9) AS best FROM x GROUP BY row),
+u AS (SELECT row, uid, count(*) FILTER (WHERE place = 1) AS votes, arg_max(attempt, score - attempt * 1e-9) FILTER (WHERE place = 1) AS supporting FROM t GROUP BY ALL),
+m AS (SELECT u.row, u.uid, any_value(u.votes) AS votes, any_value(u.supporting) AS supporting, count(*) AS attempts, round(avg(coalesce(t.score, x.stand_in)), 8) AS score FROM u JOIN x ON u.row = x.row LEFT JOIN t ON t.row = u.row AND t.attempt = x.attempt AND t.uid = u.uid GROUP BY u.row, u.uid),
+r AS (SELECT *, row_number() OVER w AS n, round(score - coalesce(lead(score) OVER w, -9), 8) AS gap FROM m WINDOW w AS (PARTITION BY row ORDER BY score DESC, uid)),
+o AS (SELECT r.*, best, NOT best.matched AND votes >= 3 AND score >= 0.66 AND gap >= 0.145 AND same_name = 1 AS accepted FROM r JOIN s ON s.name = CASE WHEN r.uid % 5 = 0 THEN r.uid + 1 ELSE r.uid END JOIN b USING (row) WHERE n = 1)
+SELECT row, votes, attempts, score, gap, accepted, CASE WHEN accepted THEN supporting ELSE best.attempt END AS attempt, CASE WHEN accepted THEN uid ELSE best.uid END AS chosen_uid, CASE WHEN accepted THEN score ELSE best.score END AS chosen_score FROM o
 """,
 )
 def consensus_vote(spark, sf_dir):
@@ -274,7 +275,7 @@ def consensus_vote(spark, sf_dir):
     rows = unit_vectors(spark, sf_dir).select(F.col("vec_id").alias("uid"), "name")
     names = rows.join(match.name_counts(rows, "name"), "name").select("uid", "same_name")
     found = match.consensus(reduce(DataFrame.union, attempts), names)
-    return found.select("row", "votes", "attempts", "score", F.round("gap", 8).alias("gap"), "accepted")
+    return found.select("row", "votes", "attempts", "score", F.round("gap", 8).alias("gap"), "accepted", "attempt", "chosen_uid", "chosen_score")
 
 
 def name_pairs_sql(similarity: str, least: float) -> str:
@@ -295,14 +296,13 @@ def named_parts(spark, sf_dir) -> DataFrame:
 
 @query("fuzzy_name_match", name_pairs_sql(LIKE_SQL, 0.7))
 def fuzzy_name_match(spark, sf_dir):
-    found = match.similar_names(named_parts(spark, sf_dir), "name", text.name_key(F.col("name")), 0.7, text.name_similarity, match.like_tokens)
+    found = match.alike_names(named_parts(spark, sf_dir), text.name_key(F.col("name")), 0.7)
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
 @query("dice_similarity", name_pairs_sql(DICE_SQL, 0.8))
 def dice_similarity(spark, sf_dir):
-    letters = lambda x: F.array_distinct(F.filter(F.split(x, ""), lambda c: c != ""))
-    found = match.similar_names(named_parts(spark, sf_dir), "name", text.name_key(F.col("name")), 0.8, lambda a, b: numbers.dice(letters(a), letters(b)), match.dice_tokens)
+    found = match.dice_names(named_parts(spark, sf_dir), text.name_key(F.col("name")), 0.8)
     return found.withColumn("similarity", F.round("similarity", 6))
 
 

@@ -91,24 +91,6 @@ def test_positions_equal_union_find(spark):
     assert {b: sorted(map(sorted, g.values())) for b, g in got.items()} == want
 
 
-def test_planned_overlaps():
-    assert stitch.planned_overlaps({0: {1: 0.5, 2: 0.9}, 1: {1: 0.8, 3: 0.7}}, 3) == {0: 2, 1: 1}
-    assert stitch.planned_overlaps({0: {1: 0.5}}, 9) == {0: 1}
-
-
-TENTATIVE = [
-    # score, second, visual, same name, category, position, expected
-    (0.60, 0.50, 0.55, 1, "", "投手", True),
-    (0.60, 0.53, 0.55, 1, "", "投手", False),
-    (0.56, 0.51, 0.51, 1, "投手", "投手", True),
-    (0.56, 0.51, 0.51, 1, "捕手", "投手", False),
-    (0.66, 0.62, 0.60, 1, "", "投手", True),
-    (0.90, 0.50, 0.90, 2, "", "投手", False),
-    (0.90, None, 0.90, 1, "", "投手", False),
-    (0.56, 0.51, 0.51, 1, "內野手", "游擊手", True),
-]
-
-
 def test_tentative(spark):
     rows = spark.createDataFrame([(i, *t) for i, t in enumerate(TENTATIVE)], "i int, s double, z double, v double, n int, c string, p string, want boolean")
     got = match.tentative(F.col("s"), F.col("z"), F.col("v"), F.col("n"), F.col("c"), match.fits_category(F.col("c"), F.col("p")))
@@ -151,7 +133,6 @@ def test_tier_order(spark):
     rows = spark.createDataFrame(data, "batch string, first_index int, score double, match int, resolved int, status string")
     done = tiers.finish(rows, "batch", F.lit("same"), F.lit(None).cast("int"), ["batch"])
     assert {r["first_index"]: (r["match"], r["resolved"]) for r in done.collect()} == {0: (None, None), 1: (None, None), 2: (None, 6), 3: (None, None)}
-    assert tiers.assign_greedily([("a", "x", 0.9), ("b", "x", 0.95), ("a", "y", 0.1)]) == {"b": "x", "a": "y"}
 
 
 def test_tables():
