@@ -36,6 +36,24 @@ def with_margin(candidates: DataFrame, query: str = "query_id", none: float = NO
     return candidates.withColumn("margin", first - F.coalesce(second, F.lit(none)))
 
 
+def refine(candidates: DataFrame, again: int = 14) -> DataFrame:
+    """Each query's best after a bounded refinement: query_id, uid, score, refined, refined_uid.
+
+    candidates: query_id, uid, place, coarse and fine score. A query is refined unless its best
+    stands out (from 0.60, ahead by 0.14) or is below 0.35. Then the first ``again`` candidates
+    gain 0.38 of what their fine score is above the coarse one, 0.065 at most, and are ranked anew: a weak
+    candidate can't become a strong one. refined_uid is the best by fine score alone. Ties go to the smaller uid.
+    """
+    whole = Window.partitionBy("query_id")
+    first, second = (F.max(F.when(F.col("place") == n, F.col("coarse"))).over(whole) for n in (1, 2))
+    strong = (F.col("_top") >= 0.60) & (F.round(F.col("_top") - F.coalesce("_second", F.lit(NONE)), 6) >= 0.14)
+    rows = candidates.withColumns({"_top": first, "_second": second}).withColumn("refined", (F.col("_top") >= 0.35) & ~strong)
+    gain = F.greatest(F.lit(0.0), F.least(F.lit(0.065), (F.col("fine") - F.col("coarse")) * 0.38))
+    rows = rows.withColumn("score", F.when(F.col("refined") & (F.col("place") <= again), F.round(F.col("coarse") + gain, 6)).otherwise(F.col("coarse")))
+    best = F.max_by(F.struct("uid", "score"), F.struct(F.col("score"), -F.col("uid")))
+    return rows.groupBy("query_id").agg(best.alias("b"), F.first("refined").alias("refined"), F.max_by("uid", F.struct(F.col("fine"), -F.col("uid"))).alias("refined_uid")).select("query_id", "b.*", "refined", "refined_uid")
+
+
 def name_counts(rows: DataFrame, name: str) -> DataFrame:
     """How many records hold each name: name, same_name."""
     return rows.groupBy(name).agg(F.count("*").alias("same_name"))
