@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rowloom.functions.text import collapse_space, fold_width
+from rowloom.functions.text import collapse_space, nfkc
 
 #: Letter grades from best to worst; the worst has value 1 (fixed values).
 GRADES = ("SS", "S+", "S", "A+", "A", "B+", "B", "C+", "C", "D+", "D", "E+", "E", "F", "G")
 #: Texts that count as empty when sorting (fixed values).
 BLANKS = ("", "—", "–", "-", "無", "不明")
+#: Rank of a row's status, and units behind a number (fixed values).
 STATUS = {"確認": 3, "推定": 2, "候選": 1, "待辨識": 0}
 UNITS = "歳|歲|km/h|km|球|人"
 
@@ -41,7 +42,7 @@ def sort_key(value: Column, speed: bool = False, status: bool = False) -> Column
     Of a range with slashes the last part may be a grade (or, with ``speed``, a number). Numbers
     come before texts; that order is fixed here, as comparing them as text would be no order.
     """
-    text = collapse_space(fold_width(value.cast("string")))
+    text = collapse_space(nfkc(value.cast("string")))
     last = F.trim(F.element_at(F.split(text, "/"), -1))
     whole = F.when(text.rlike(rf"(?i)^\d+(\.\d+)?({UNITS})?$"), F.regexp_extract(text, r"^\d+(\.\d+)?", 0).cast("double"))
     number = F.coalesce(grade_value(last), whole)
@@ -60,9 +61,24 @@ def ordering(key: str, ordinal: str, descending: bool = True) -> list[Column]:
     return [F.col(f"{key}.blank"), F.col(f"{key}.number").asc_nulls_last(), F.col(f"{key}.text").asc_nulls_first(), F.col(ordinal)]
 
 
+#: Case, accents and the kind of kana don't count.
+COLLATION = "ja_CI_AI"
+
+
+def collated_key(value: Column) -> Column:
+    """sort_key() whose text compares by COLLATION: a total order of keys, blanks last, numbers before texts."""
+    key = sort_key(value)
+    return F.struct(key["blank"].alias("blank"), key["number"].alias("number"), F.collate(key["text"], COLLATION).alias("text"))
+
+
+def collated_ordering(key: str) -> list[Column]:
+    """Ascending sort columns for a collated_key() column."""
+    return [F.col(f"{key}.blank"), F.col(f"{key}.number").asc_nulls_last(), F.col(f"{key}.text").asc_nulls_first()]
+
+
 def ability_pair(value: Column) -> Column:
     """Limit, then growth, of a growth/limit pair of grades, as sort values."""
-    parts = F.split(fold_width(value), "/")
+    parts = F.split(nfkc(value), "/")
     return F.struct(grade_value(F.element_at(parts, -1)).alias("limit"), grade_value(F.get(parts, 0)).alias("growth"))
 
 

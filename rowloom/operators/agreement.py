@@ -81,6 +81,12 @@ def best_per_identity(rows: DataFrame, uid: str, score: str, confidence: str, or
     return best.unionByName(rows.filter(F.col(uid).isNull()))
 
 
+def in_order(rows: DataFrame, order: str, total: Column, group: list[str]) -> DataFrame:
+    """Rows with their ``place`` by ``order`` (null counts as 9999) within the group; places beyond ``total`` go, where it is above 0."""
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(F.coalesce(F.col(order), F.lit(9999)), *[F.col(c) for c in rows.columns if c not in (order, *group)][:1]))
+    return rows.withColumn("place", place).filter((F.coalesce(total, F.lit(0)) <= 0) | (F.col("place") <= total))
+
+
 def expected_total(values: DataFrame, group: list[str], value: str, fallback: Column) -> DataFrame:
     """The total that each group's readings speak for: group, ``total``.
 

@@ -37,9 +37,25 @@ def check_routing(sections: DataFrame, routed: DataFrame) -> DataFrame:
     return lost.join(doubled, F.lit(True)).join(unplaced, F.lit(True))
 
 
-def require_routing(sections: DataFrame, routed: DataFrame) -> DataFrame:
-    """``routed``, or RoutingError where check_routing() finds anything."""
+def check_routes(routes: DataFrame, routed: DataFrame, places: DataFrame, archive: str = "archive") -> DataFrame:
+    """Counts of what must be nothing besides check_routing(): chapters with two routes, sections sent to a place that isn't there, places without an entry. One row.
+
+    routes: chapter_id, place; places: place, each that a reader is shown; routed: place and ``entries``.
+    """
+    doubled = routes.groupBy("chapter_id").count().agg(F.count_if(F.col("count") > 1).alias("double_routes"))
+    known = places.select(F.col("place").alias("_p")).distinct()
+    sent = routed.filter(F.col("place").isNotNull() & (F.col("place") != archive)).groupBy("place").agg(F.count("*").alias("n"), F.sum("entries").alias("entries"))
+    both = sent.join(known, F.col("place") == F.col("_p"), "full")
+    off = F.when(F.col("_p").isNull(), F.col("n")).otherwise(0)
+    rest = both.agg(F.coalesce(F.sum(off), F.lit(0)).alias("bad_places"), F.count_if(F.col("_p").isNotNull() & (F.coalesce("entries", F.lit(0)) == 0)).alias("empty_places"))
+    return doubled.join(rest, F.lit(True))
+
+
+def require_routing(sections: DataFrame, routed: DataFrame, routes: DataFrame | None = None, places: DataFrame | None = None) -> DataFrame:
+    """``routed``, or RoutingError where check_routing() finds anything, or check_routes() where routes and places are given."""
     found = check_routing(sections, routed).first().asDict()
+    if routes is not None and places is not None:
+        found |= check_routes(routes, routed, places).first().asDict()
     if any(found.values()):
         raise RoutingError(", ".join(f"{k}: {v}" for k, v in found.items() if v))
     return routed

@@ -86,3 +86,30 @@ def merge_evidence(rows: DataFrame, key: str, order: str, scalar: str, tag: str,
         F.min(order).alias("first_index"),
         F.count("*").alias("n"),
     )
+
+
+def as_evidence(readings: DataFrame, key: str, order: str) -> DataFrame:
+    """The readings of each key as one: key, names, families, givens, family, given, position, hand, age, confidence, first_index, n.
+
+    readings: key, order (tells the readings of a key apart), family, given, position, hand, age, confidence; blank is unknown. Arrays hold what was read, each
+    once, in the order of first reading; a scalar is the first that is known; the confidence is the largest. All are
+    aggregates that combine before the shuffle, and none depends on the order of rows.
+    """
+    known = lambda c: F.nullif(F.col(c), F.lit(""))
+    name = F.nullif(F.concat(F.coalesce("family", F.lit("")), F.coalesce("given", F.lit(""))), F.lit(""))
+    read = lambda v: F.collect_set(F.when(v.isNotNull(), F.struct(F.col(order).alias("o"), v.alias("v"))))
+    first = lambda v: F.min_by(v, F.when(v.isNotNull(), F.col(order)))
+    once = lambda c: F.array_distinct(F.transform(F.array_sort(c), lambda x: x["v"]))
+    per = readings.groupBy(F.col(key).alias("key")).agg(
+        read(name).alias("names"),
+        read(known("family")).alias("families"),
+        read(known("given")).alias("givens"),
+        first(known("position")).alias("position"),
+        first(known("hand")).alias("hand"),
+        first(F.col("age")).alias("age"),
+        F.max("confidence").alias("confidence"),
+        F.min(order).alias("first_index"),
+        F.count("*").alias("n"),
+    )
+    per = per.withColumns({c: once(c) for c in ("names", "families", "givens")})
+    return per.withColumns({"family": F.get("families", 0), "given": F.get("givens", 0), "position": F.coalesce("position", F.lit("")), "hand": F.coalesce("hand", F.lit(""))})

@@ -193,6 +193,20 @@ def identity_dedup(spark, sf_dir):
     return agreement.best_per_identity(rows, "uid", "score", "confidence", "event_id", ["event_type"])
 
 
+@query(
+    "identity_order",
+    """
+WITH e AS (SELECT event_type, event_id, CASE WHEN event_id % 5 > 0 THEN user_id END AS uid, round(value / 100, 6) AS score, CASE WHEN event_id % 3 > 0 THEN event_id % 100 END AS confidence FROM events),
+k AS (SELECT * FROM e QUALIFY uid IS NULL OR row_number() OVER (PARTITION BY event_type, uid ORDER BY coalesce(score, 0::DOUBLE) + coalesce(confidence, 0)::DOUBLE / 5000 DESC, event_id) = 1)
+SELECT event_type, event_id, uid, CAST(row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS INTEGER) AS place FROM k QUALIFY event_type = 'click' OR place <= 120
+""",
+)
+def identity_order(spark, sf_dir):
+    """The rows of identity_dedup in order again, no more than the expected number of a batch, where one is known."""
+    total = F.when(F.col("event_type") == "click", 0).otherwise(120)
+    return agreement.in_order(identity_dedup(spark, sf_dir), "event_id", total, ["event_type"]).select("event_type", "event_id", "uid", "place")
+
+
 @query(
     "expected_total",
     """
@@ -253,7 +267,7 @@ def hash_distance(spark, sf_dir):
 WITH r AS (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN '合計: ' || p_size * 3 + 10 || ' 人 ' || p_name WHEN 1 THEN p_size || '人 | ' || p_size * 2 || '人  ' || p_brand WHEN 2 THEN '山田々 ' || p_name || 'ヵー12' ELSE p_name END AS reading FROM part),
 c AS (SELECT p_partkey, trim(regexp_replace(replace(reading, '|', ' '), '\s+', ' ', 'g')) AS clean FROM r),
 n AS (SELECT *, TRY_CAST(nullif(regexp_extract(clean, '(?:合計|含計|会計|馬軒)[^0-9]{0,8}(\d{2,3})\s*人', 1), '') AS INTEGER) AS named,
-  list_max(list_filter(list_transform(regexp_extract_all(clean, '(\d{1,4})\s*人', 1), lambda x: x::INTEGER), lambda x: x BETWEEN 20 AND 200)) AS printed FROM c)
+  list_max(list_filter(list_transform(regexp_extract_all(clean, '(\d{2,3})\s*人', 1), lambda x: x::INTEGER), lambda x: x BETWEEN 20 AND 200)) AS printed FROM c)
 SELECT p_partkey, clean, regexp_replace(clean, '[^\p{Han}\p{Hiragana}\p{Katakana}々ヶヵーA-Za-z]', '', 'g') AS name_part, coalesce(named, printed, 0) AS total FROM n
 """,
 )
@@ -271,6 +285,38 @@ def clean_readings(spark, sf_dir):
     return rows.select("p_partkey", text.clean_reading(r).alias("clean"), text.name_part(r).alias("name_part"), text.labelled_total(r).alias("total"))
 
 
+@query(
+    "row_texts",
+    r"""
+WITH r AS (SELECT p_partkey, ['投', '外', 'x', ''][p_size % 4 + 1] || ' ' || CASE WHEN p_size % 3 = 0 THEN '右 ' ELSE '' END || '山田' || substr('太次三', p_size % 3 + 1, 1) || ' ' || ['一郎', '健', 'ケン'][p_partkey % 3 + 1] || ' ' || CASE WHEN p_size % 5 > 0 THEN CAST(p_size % 9 + 17 AS VARCHAR) || '歳' ELSE p_brand END || ' ' || ['右/左', '左 / 右', '右', '左／両'][p_partkey % 4 + 1] AS reading,
+  CASE WHEN p_partkey % 4 = 1 THEN '捕 二 佐藤 花' WHEN p_partkey % 4 = 2 THEN '鈴木12' ELSE '' END AS other FROM part),
+c AS (SELECT *, trim(regexp_replace(replace(replace(reading, '|', ' '), '／', '/'), '\s+', ' ', 'g')) AS clean FROM r),
+a AS (SELECT *, regexp_extract(clean, '(18|19|20|21|22|23|24)', 1) AS age, regexp_replace(regexp_extract(clean, '([右左]\s*[/／]\s*[右左両])', 1), '\s', '', 'g') AS hand FROM c),
+b AS (SELECT *, CASE WHEN age <> '' AND strpos(clean, age) > 1 THEN left(clean, strpos(clean, age) - 1) ELSE clean END AS before FROM a),
+t AS (SELECT *, [x FOR x IN string_split(trim(regexp_replace(before, '[0-9A-Za-z/／歳才\s]+', ' ', 'g')), ' ') IF x <> ''] AS bt, [x FOR x IN string_split(trim(regexp_replace(other, '[0-9A-Za-z/／歳才\s]+', ' ', 'g')), ' ') IF x <> ''] AS ot FROM b),
+n AS (SELECT *, array_to_string(bt[greatest(1, len(bt) - 1):], ' ') AS by_text, array_to_string(ot[greatest(1, len(ot) - 1):], ' ') AS by_other FROM t)
+SELECT p_partkey, clean AS text, age, hand, CASE WHEN list_contains(string_split(clean, ' ')[1:4], '投') THEN '投' WHEN list_contains(string_split(clean, ' ')[1:4], '外') THEN '外' ELSE '' END AS pos, CASE WHEN other <> '' THEN by_other ELSE by_text END AS name,
+  array_to_string([x FOR x IN (CASE WHEN other <> '' AND by_other <> by_text THEN [by_other, by_text] ELSE [by_text] END) IF x <> ''], '|') AS names FROM n
+""",
+)
+def row_texts(spark, sf_dir):
+    """What the text of a row says: age, hand, position and name, with a second reading of the name preferred."""
+    nth = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n + 1).cast("int"))
+    size, key = F.col("p_size"), F.col("p_partkey")
+    age = F.when(size % 5 > 0, F.concat((size % 9 + 17).cast("string"), F.lit("歳"))).otherwise(F.col("p_brand"))
+    reading = F.concat_ws(" ", nth(("投", "外", "x", ""), size % 4), F.concat(F.when(size % 3 == 0, "右 ").otherwise(""), F.lit("山田"), nth(("太", "次", "三"), size % 3)), nth(("一郎", "健", "ケン"), key % 3), age, nth(("右/左", "左 / 右", "右", "左／両"), key % 4))
+    other = F.when(key % 4 == 1, "捕 二 佐藤 花").when(key % 4 == 2, "鈴木12").otherwise("")
+    rows = table(spark, sf_dir, "part").select("p_partkey", text.row_text(reading, other).alias("r")).select("p_partkey", "r.*")
+    return rows.withColumn("names", F.array_join("names", "|"))
+
+
+@query("name_characters", r"SELECT DISTINCT character FROM (SELECT unnest(string_split(CASE p_size % 3 WHEN 0 THEN '山田' WHEN 1 THEN 'ヵー・' ELSE 'はなx' END || p_name, '')) AS character FROM part) WHERE regexp_matches(character, '[\p{Han}\p{Hiragana}\p{Katakana}々ヶヵー・]')")
+def name_characters(spark, sf_dir):
+    """The different characters of all names that a reader has to know, found in each row first."""
+    name = F.concat(F.when(F.col("p_size") % 3 == 0, "山田").when(F.col("p_size") % 3 == 1, "ヵー・").otherwise("はなx"), "p_name")
+    return table(spark, sf_dir, "part").select(F.explode(text.name_characters(name)).alias("character")).distinct()
+
+
 @query(
     "word_score",
     """

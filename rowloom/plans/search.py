@@ -223,6 +223,28 @@ def routing_checks(spark, sf_dir):
     return corpus.check_routing(found, spoilt(placed))
 
 
+@query(
+    "route_checks",
+    SPOILT_SQL
+    + """
+, t AS (SELECT 'topic' || i AS place FROM (SELECT unnest(generate_series(0, 7)) AS i) UNION ALL SELECT 'override'),
+c AS (SELECT DISTINCT chapter_id FROM a), r AS (SELECT chapter_id FROM c UNION ALL SELECT chapter_id FROM c WHERE chapter_id LIKE '%3'),
+z AS (SELECT CASE WHEN s.section % 43 = 7 AND s.place <> 'archive' THEN 'nowhere' ELSE s.place END AS place, entries FROM s JOIN a USING (reading_id))
+SELECT (SELECT count(*) FROM (SELECT chapter_id FROM r GROUP BY 1 HAVING count(*) > 1)) AS double_routes, (SELECT count(*) FROM z WHERE place <> 'archive' AND place NOT IN (SELECT place FROM t)) AS bad_places,
+  (SELECT count(*) FROM t WHERE coalesce((SELECT sum(entries) FROM z WHERE z.place = t.place), 0) = 0) AS empty_places
+""",
+)
+def route_checks(spark, sf_dir):
+    """Routes with planted defects: chapters routed twice, sections sent nowhere, and a place that nothing reaches."""
+    found, placed = routed(spark, sf_dir)
+    names = found.select("chapter_id").distinct()
+    routes = names.unionByName(names.filter(F.col("chapter_id").endswith("3"))).withColumn("place", F.lit("topic0"))
+    rows = spoilt(placed).withColumn("entries", corpus.entry_count(F.col("rows"), F.col("items")))
+    off = (F.col("section") % 43 == 7) & (F.col("place") != "archive")
+    places = spark.range(8).select(F.concat(F.lit("topic"), F.col("id").cast("string")).alias("place")).unionByName(names.select(F.lit("override").alias("place")).distinct())
+    return corpus.check_routes(routes, rows.withColumn("place", F.when(off, "nowhere").otherwise(F.col("place"))), places)
+
+
 @query("chapter_counts", f"SELECT place, count(*) AS sections, CAST(sum(entries) AS BIGINT) AS entries FROM ({ROUTE_SQL}) GROUP BY place")
 def chapter_counts(spark, sf_dir):
     return route_corpus(spark, sf_dir).groupBy("place").agg(F.count("*").alias("sections"), F.sum("entries").alias("entries"))

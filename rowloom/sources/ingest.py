@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import io
+import time
 import uuid
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -136,10 +139,30 @@ def read_published(spark: SparkSession, path: str, part: str = "version") -> Dat
     return spark.read.parquet(f"{path}/{part}-{version}")
 
 
+def refresh(spark: SparkSession, fetch: Callable[[int], DataFrame], path: str, gate: Callable[[DataFrame], DataFrame], attempts: int = 2, pause: float = 0.5) -> tuple[DataFrame, str]:
+    """The newest published table and what became of the update: up to ``attempts`` tries of fetch(attempt) and publish(), ``pause`` seconds apart.
+
+    After the last failure the table published before stays and is returned, and the message says why and how many rows are kept.
+    Without any published table the failure is raised.
+    """
+    failure: Exception | None = None
+    for attempt in range(attempts):
+        try:
+            done = publish(fetch(attempt), path, gate)
+            return done, f"updated: {done.count()} rows"
+        except (GateError, PySparkException, OSError) as e:
+            failure = e
+            if attempt + 1 < attempts:
+                time.sleep(pause)
+    try:
+        kept = read_published(spark, path)
+    except AnalysisException:
+        raise failure from None
+    return kept, f"update failed: {str(failure).splitlines()[0]}; {kept.count()} rows kept"
+
+
 def first_valid(spark: SparkSession, paths: list[tuple[str, str]], gate: Callable[[DataFrame], DataFrame], fallback: DataFrame) -> DataFrame:
     """The first of (label, path) whose table passes the gate, else the fallback; ``_provenance`` says which."""
-    from pyspark.errors import AnalysisException
-
     for label, path in paths:
         try:
             return gate(spark.read.parquet(path)).withColumn("_provenance", F.lit(label))
@@ -162,29 +185,40 @@ def image_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def archive_entries(archives: DataFrame) -> DataFrame:
-    """Image entries of ZIP archives (``path``, ``content``) in natural order: archive, name, content, place; limits raise."""
+    """Image entries of ZIP archives (``path``, ``content``) in natural order: path, archive, name, content, place, error.
+
+    An archive that is broken or passes a limit gives one row with its ``error`` and nothing else,
+    and stops none of the others. Archives are told apart by their path.
+    """
+
+    def entries(archive: str, content: bytes) -> list[tuple[str, bytes]]:
+        mb, out, total = 1 << 20, [], 0
+        if len(content) > ARCHIVE_MB * mb:
+            raise GateError(f"over {ARCHIVE_MB} MB")
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            for info in z.infolist():
+                last = info.filename.rsplit("/", 1)[-1]
+                if info.is_dir() or info.filename.startswith("__MACOSX/") or last.startswith("._") or last == ".DS_Store" or not last.lower().endswith((".png", ".jpg", ".jpeg", ".webp", ".bmp")):
+                    continue
+                total += info.file_size
+                if info.file_size > ENTRY_MB * mb or total > EXPANDED_MB * mb:
+                    raise GateError(f"{info.filename} passes a limit")
+                out.append((f"{archive}__{info.filename.replace('/', '__')}", z.read(info)))
+        return out
 
     def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mb = 1 << 20
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
                 archive = path.rsplit("/", 1)[-1].removesuffix(".zip")
-                if len(content) > ARCHIVE_MB * mb:
-                    raise GateError(f"{archive}: over {ARCHIVE_MB} MB")
-                out, total = [], 0
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for info in z.infolist():
-                        last = info.filename.rsplit("/", 1)[-1]
-                        if info.is_dir() or info.filename.startswith("__MACOSX/") or last.startswith("._") or last == ".DS_Store" or not last.lower().endswith((".png", ".jpg", ".jpeg", ".webp", ".bmp")):
-                            continue
-                        total += info.file_size
-                        if info.file_size > ENTRY_MB * mb or total > EXPANDED_MB * mb:
-                            raise GateError(f"{archive}: {info.filename} passes a limit")
-                        out.append((archive, f"{archive}__{info.filename.replace('/', '__')}", z.read(info)))
-                yield pd.DataFrame(out, columns=["archive", "name", "content"])
-
-    entries = archives.select("path", "content").mapInPandas(opened, "archive string, name string, content binary")
-    return entries.withColumn("place", F.row_number().over(Window.partitionBy("archive").orderBy(natural_text(F.col("name")), "name")))
+                try:
+                    rows = [(path, archive, name, body, None) for name, body in entries(archive, content)]
+                except (GateError, zipfile.BadZipFile, zlib.error, EOFError, RuntimeError, NotImplementedError, TypeError) as e:
+                    rows = [(path, archive, None, None, f"{type(e).__name__}: {e}")]
+                yield pd.DataFrame(rows, columns=["path", "archive", "name", "content", "error"])
+
+    found = archives.select("path", "content").mapInPandas(opened, "path string, archive string, name string, content binary, error string")
+    order = Window.partitionBy("path").orderBy(natural_text(F.col("name")), "name")
+    return found.withColumn("place", F.when(F.col("error").isNull(), F.row_number().over(order)))
 
 
 def dedup_events(rows: DataFrame, identity: list[str], order: str) -> DataFrame:

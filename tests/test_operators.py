@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from rowloom.functions import text
 from rowloom.operators import corpus, kernels, match, roster, stitch, tiers
 from rowloom.sources import ingest
 
@@ -91,6 +92,19 @@ def test_positions_equal_union_find(spark):
     assert {b: sorted(map(sorted, g.values())) for b, g in got.items()} == want
 
 
+TENTATIVE = [
+    # score, second, visual, same name, category, position, expected
+    (0.60, 0.50, 0.55, 1, "", "投手", True),
+    (0.60, 0.53, 0.55, 1, "", "投手", False),
+    (0.56, 0.51, 0.51, 1, "投手", "投手", True),
+    (0.56, 0.51, 0.51, 1, "捕手", "投手", False),
+    (0.66, 0.62, 0.60, 1, "", "投手", True),
+    (0.90, 0.50, 0.90, 2, "", "投手", False),
+    (0.90, None, 0.90, 1, "", "投手", False),
+    (0.56, 0.51, 0.51, 1, "內野手", "游擊手", True),
+]
+
+
 def test_tentative(spark):
     rows = spark.createDataFrame([(i, *t) for i, t in enumerate(TENTATIVE)], "i int, s double, z double, v double, n int, c string, p string, want boolean")
     got = match.tentative(F.col("s"), F.col("z"), F.col("v"), F.col("n"), F.col("c"), match.fits_category(F.col("c"), F.col("p")))
@@ -169,8 +183,88 @@ def test_archives(spark):
     with zipfile.ZipFile(buffer, "w") as z:
         for name in ("p10.png", "p2.png", "__MACOSX/x.png", "a/._p.png", "note.txt", "d/p1.PNG"):
             z.writestr(name, b"x")
-    found = ingest.archive_entries(spark.createDataFrame([("/in/set.zip", buffer.getvalue())], "path string, content binary"))
-    assert [r["name"] for r in found.orderBy("place").collect()] == ["set__d__p1.PNG", "set__p2.png", "set__p10.png"]
+    good = buffer.getvalue()
+    rows = [("/in/set.zip", good), ("/other/set.zip", good), ("/in/broken.zip", b"no archive"), ("/in/cut.zip", good[: len(good) // 2]), ("/in/none.zip", None)]
+    found = ingest.archive_entries(spark.createDataFrame(rows, "path string, content binary")).collect()
+    for path in ("/in/set.zip", "/other/set.zip"):
+        assert [(r["name"], r["place"]) for r in sorted(found, key=lambda r: r["place"] or 0) if r["path"] == path] == [("set__d__p1.PNG", 1), ("set__p2.png", 2), ("set__p10.png", 3)]
+    assert {r["path"] for r in found if r["error"]} == {"/in/broken.zip", "/in/cut.zip", "/in/none.zip"}
+
+
+def test_image_files_and_json(spark, tmp_path):
+    (tmp_path / "in" / "sub").mkdir(parents=True)
+    for name, body in (("b.png", b"xx"), ("sub/a.JPG", b"y"), ("sub/notes.txt", b"z"), ("c.webp", b"zz")):
+        (tmp_path / "in" / name).write_bytes(body)
+    found = {r["name"]: r["length"] for r in ingest.image_files(spark, str(tmp_path / "in")).collect()}
+    assert found == {"b.png": 2, "sub__a.JPG": 1, "c.webp": 2}
+    (tmp_path / "good.json").write_text('[{"a": 1, "b": "x"}, {"a": 2}]')
+    (tmp_path / "bad.json").write_text('[{"a": 1,')
+    assert [(r["a"], r["b"]) for r in ingest.read_json(spark, str(tmp_path / "good.json"), "a int, b string").collect()] == [(1, "x"), (2, None)]
+    with pytest.raises(Exception):  # noqa: B017  whatever Spark raises for malformed input
+        ingest.read_json(spark, str(tmp_path / "bad.json"), "a int, b string").collect()
+
+
+def test_refresh(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "s1"), ("b", "s1")], "name string, slug string")
+    gate = lambda df: ingest.require(df, "name", "slug", 2, {"s1": 2})
+    path, tried = str(tmp_path / "roster"), []
+
+    def fetch(good):
+        def run(attempt):
+            tried.append(attempt)
+            return rows if attempt in good else rows.limit(1)
+
+        return run
+
+    with pytest.raises(ingest.GateError):
+        ingest.refresh(spark, fetch([]), path, gate, pause=0)
+    done, said = ingest.refresh(spark, fetch([1]), path, gate, pause=0)
+    assert tried == [0, 1, 0, 1] and done.count() == 2 and said == "updated: 2 rows"
+    kept, said = ingest.refresh(spark, fetch([]), path, gate, pause=0)
+    assert kept.count() == 2 and said.startswith("update failed: 1 rows of 2") and said.endswith("2 rows kept")
+
+
+def test_arrivals_equal_one_batch(spark, tmp_path):
+    from rowloom.streaming import groups
+
+    rows = [(i, f"g{i % 4}", i * 7 % 10) for i in range(40)] + [(100, None, 1)]
+    schema = "id long, g string, v long"
+    table = spark.createDataFrame(rows, schema)
+    build = lambda df: df.groupBy("g").agg(F.count("*").alias("n"), F.sum("v").alias("s"))
+    path = str(tmp_path / "kept")
+    steps = [rows[:10], [*rows[8:20], rows[40]], [r for r in rows[20:40] if r[1] == "g1"], rows[:5]]
+    for number, step in enumerate(steps):
+        batch = spark.createDataFrame(step, schema)
+        groups.absorb(batch, number, path, ["id"], "g", build)
+        if number == 1:  # a batch that is run again changes nothing
+            groups.absorb(batch, number, path, ["id"], "g", build)
+    got = {r["g"]: (r["n"], r["s"], r["version"]) for r in groups.results(spark, path, "g", build(table).schema).collect()}
+    seen = {r[0]: r for s in steps for r in s}.values()
+    want = {g: (sum(1 for r in seen if r[1] == g), sum(r[2] for r in seen if r[1] == g)) for g in {r[1] for r in seen}}
+    assert {g: x[:2] for g, x in got.items()} == want
+    assert {g: x[2] for g, x in got.items()} == {"g0": 1, "g1": 2, "g2": 1, "g3": 1, None: 1}
+
+
+def test_compatibility_of_stacked_marks_and_jamo(spark):
+    import random
+    import unicodedata
+
+    rnd = random.Random(1)
+    marks = [chr(c) for c in range(0x300, 0x345) if c != 0x34F] + ["\u3099", "\u309a", "\u0591", "\u05b0", "\u0e38", "\uff9e", "\uff9f"]
+    letters = [*"abceoAEO가각한ㄱかはカ①㈱ﬁ½ ", "\uff8c", "\u1112\u1161\u11ab", "\u1100\u1161", "\u1161", "\uac00\u11a8", "\uac01\u11a8", "\u1112", "\u11a8"]
+    words = ["".join(rnd.choice(letters) + "".join(rnd.choice(marks) for _ in range(rnd.choice([0, 0, 0, 1, 2, 3]))) for _ in range(rnd.randint(1, 4))) for _ in range(1500)]
+    table = spark.createDataFrame([(w,) for w in [*words, "", None]], "w string")
+    for r in table.select("w", text.nfkc(F.col("w")).alias("n")).collect():
+        assert r["n"] == (None if r["w"] is None else unicodedata.normalize("NFKC", r["w"]))
+
+
+def test_row_text(spark):
+    rows = [("投 右 山田 太郎 21歳 右/左 Ａ", ""), ("一 二 三", "x 鈴木 一"), ("", ""), (None, None), ("20", "20")]
+    table = spark.createDataFrame(rows, "a string, b string").select(text.row_text(F.col("a"), F.col("b")).alias("r")).select("r.*")
+    got = [(r["age"], r["hand"], r["pos"], r["name"], r["names"]) for r in table.collect()]
+    assert got[0] == ("21", "右/左", "投", "山田 太郎", ["山田 太郎"])
+    assert got[1] == ("", "", "一", "鈴木 一", ["鈴木 一", "二 三"])
+    assert got[2][:4] == ("", "", "", "") and got[3][4] == [] and got[4][0] == "20"
 
 
 def letters(seed, dark=False):
