@@ -43,6 +43,8 @@ WIDE = {
 ALL_KINDS = tuple(WIDE)
 #: Words before a span that speak for its kind.
 CONTEXT = {"email": "mail|contact|write", "ip": "ip|host|addr|server", "card": "card|visa|credit|pay", "phone": "tel|phone|call|mobil|fax", "ip6": "ip|host|addr|server", "iban": "iban|bank|account|konto"}
+#: Last parts of addresses that may be spelled out by bare words ("at", "dot"), where any word could stand; English words among country codes are left out (fixed values).
+SPELLED = "com|org|net|edu|gov|mil|int|info|biz|io|dev|app|ai|co|uk|de|fr|es|nl|ch|ru|cn|jp|kr|br|ca|au|eu|pl|se|fi|dk|cz|pt|gr|ie|nz|za|mx|test|example"
 #: How often a number without meaning passes a kind's checksum.
 BY_CHANCE = {"card": 0.1, "iban": 1 / 97}
 
@@ -105,16 +107,23 @@ def evident(kind: str, value: Column) -> Column:
     plain = normalised(kind, value)
     n = F.length(_digits(value))
     if kind == "email":
-        return plain.rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,10}$")
+        whole = plain.rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,10}$")
+        # bare words read like prose: "me at noon dot on"
+        return whole & (~value.rlike(r"(?i)\x20(at|dot)\x20") | plain.rlike(rf"(?i)\.({SPELLED})$"))
     if kind == "ip":
         return valid("ip", plain)
     if kind == "card":
-        return valid("card", plain) & (F.size(F.array_distinct(F.split(plain, ""))) > 2)
+        return valid("card", plain) & ~plain.rlike(r"^(.)\1*$")
     if kind == "phone":
-        return (n >= 9) & (n <= 15) & (value.rlike(r"^(\+|00)") | ((n >= 10) & (n <= 11)))
+        # without a country's sign: a trunk zero, a leading 1 before ten digits, or an area code and 3 and 4 digits; pairs of other numbers, dates and part numbers aren't
+        national = value.rlike(r"^\(?0[0-9]") | value.rlike(r"^\(?1[\x20./-]*\(?[2-9][0-9]{2}\)?[\x20./-]+[0-9]{3}[\x20./-]+[0-9]{4}$") | value.rlike(r"^\(?[2-9][0-9]{2}\)?[\x20./-]+[0-9]{3}[\x20./-]+[0-9]{4}$")
+        date = value.rlike(r"^0?[0-9]{1,2}[./-][0-9]{1,2}[./-](19|20)[0-9]{2}\b|^(19|20)[0-9]{2}[./-][0-9]{1,2}[./-][0-9]{1,2}\b")
+        return (n >= 9) & (n <= 15) & ~date & (value.rlike(r"^(\+|00)") | ((n >= 10) & (n <= 11) & national))
     if kind == "ip6":
         groups, gaps = F.size(F.filter(F.split(value, ":"), lambda g: g != "")), F.size(F.split(value, "::")) - 1
-        return ((gaps == 0) & (groups == 8)) | ((gaps == 1) & (groups >= 2) & (groups <= 7) & ~value.rlike(":::"))
+        # names of code stand around double colons too: a short form needs digits, and three groups or a known beginning
+        short = value.rlike("[0-9]") & ((groups >= 3) | value.rlike("(?i)^(fe80|f[cd][0-9a-f]{2}|2[0-9a-f]{3})::"))
+        return ((gaps == 0) & (groups == 8)) | ((gaps == 1) & short & (groups <= 7) & ~value.rlike(":::"))
     return (F.length(plain) >= 15) & (F.length(plain) <= 34) & mod97(plain)
 
 
@@ -127,7 +136,7 @@ def candidates(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
     # what no match can do without, tested first: scanning costs far more
-    needs = {"email": F.contains(body, F.lit("@")) | body.rlike(r"(?i)\bat\b.{1,80}\bdot\b"), "ip6": body.rlike("[0-9A-Fa-f]:[0-9A-Fa-f:]"), "iban": body.rlike("[A-Z]{2}[0-9]{2}")}
+    needs = {"email": F.contains(body, F.lit("@")) | (body.rlike(r"(?i)\bat\b") & body.rlike(r"(?i)\bdot\b")), "ip6": body.rlike("[0-9A-Fa-f]:[0-9A-Fa-f:]"), "iban": body.rlike("[A-Z]{2}[0-9]{2}")}
     digit = body.rlike("[0-9]")
     at_sign = F.contains(body, F.lit("@"))
 

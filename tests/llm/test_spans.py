@@ -98,6 +98,16 @@ def test_pii_added(spark):
         -10: ("pay to DE88 3704 0044 0532 0130 00 please", ""),
         -11: ("at 12:30:45 on 12-31", ""),
         -12: ("number 4111.1111.1111.1112 fails", ""),
+        -13: ("meet me at noon dot on time", ""),
+        -14: ("you at work dot then home", ""),
+        -15: ("ids 10-20-30-40-50 done", ""),
+        -16: ("the name abc::def is code, and std::vec too", ""),
+        -17: ("held 12-05-2023 14-06-2023 there", ""),
+        -18: ("isbn 978-3-16-148410-0 and part 123-456-7890", ""),
+        -19: ("pay by 4111.1111.1111.1111 now", "card:7:26"),
+        -20: ("numéro 01-23-45-67-89 ici", "phone:7:21"),
+        -21: ("node fe80::1 answers", "ip6:5:12"),
+        -22: ("find " + "x" * 40 + " at " + "y" * 60 + " dot com", f"email:5:{5 + 40 + 4 + 60 + 8}"),
     }
     docs = given.union(spark.createDataFrame([(i, t) for i, (t, _) in planted.items()], "doc_id long, text string"))
     got = {r["doc_id"]: r for r in pii.find_pii(docs).filter("doc_id < 0 or n_added > 0").collect()}
@@ -151,6 +161,14 @@ def test_secret_added(spark):
         (-6, "pass: hello and key = 12", "b", ""),
         (-7, "see ftp://user:example99@host", "a", ""),
         (-8, "see ftp://user:example99@host", "b", ""),
+        (-9, "row 550e8400-e29b-41d4-a716-446655440000 is gone", "a", ""),
+        (-10, "see https://example.com/path/abcdefghij1234567890/ABCDEF now", "a", ""),
+        (-11, "commit 9FCEB02D0AE598E95DC970B74767F19372D61AF8 done", "b", ""),
+        (-12, "post 2024-05-17-how-to-win-friends-in-2-days", "b", ""),
+        (-13, "get cdn.example.org/Zx81kQ9vLm37TyUw02PqRs/app", "b", ""),
+        (-14, "key ABCDEFGH12345678ijklmnop", "b", ""),
+        (-15, "db amqp://svc:" + "k9" * 100 + "@host", "b", f"conn:3:{3 + 11 + 200 + 1}"),
+        (-16, "blob q7Xv/2KdP0sLz9+Rt4WmYb8NcHf3JgA5 end", "b", "token:5:37"),
     ]
     docs = given.union(spark.createDataFrame([p[:3] for p in planted], "doc_id long, text string, source string"))
     got = {r["doc_id"]: r["spans"] for r in secrets.digest(secrets.scan_secrets(docs)).filter("doc_id < 0").collect()}
