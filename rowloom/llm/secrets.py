@@ -22,11 +22,11 @@ ACCESS = r"AKIA[A-Z0-9]{12,}+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"
 #: Candidates: a cheap test of the text, the pattern, and the part of a match that is the value.
 PROPOSED = {
-    "pem": ("PRIVATE KEY-----", r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,}+", r"-----([A-Za-z0-9+/=\s]+)$"),
+    "pem": ("PRIVATE KEY-----", r"-----BEGIN (?:(?!PRIVATE KEY)[A-Z ])*+PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,}+", r"-----([A-Za-z0-9+/=\s]+)$"),
     "jwt": ("eyJ", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", r"^(.*)$"),
-    "conn": ("://", r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]{1,20}+://[^\s:/@]{1,64}+:[^\s:/@]{4,128}+@", r":([^:]+)@$"),
+    "conn": ("://", r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]++://[^\s:/@]++:[^\s:/@]{4,}+@", r":([^:]+)@$"),
     "label": (None, r"""(?<![A-Za-z0-9])(?i:pwd|pass|passphrase|auth|bearer|credential|client_secret|private_?key|access_?key)s?+["']?\x20{0,2}[:=]\x20{0,2}["']?[A-Za-z0-9+/_.=!#$%&*@^~-]{6,}+""", r"""[:=]\x20*["']?([^\s"']+)$"""),
-    "token": (None, r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}", r"^(.*)$"),
+    "token": (None, r"(?<![A-Za-z0-9+/_.@-])[A-Za-z0-9+/_-]{20,}+={0,2}", r"^(.*)$"),
 }
 
 BASE_KINDS = ("assign", "access", "hex")
@@ -50,13 +50,20 @@ def _of_kind(spans: Column, kind: str) -> Column:
 def live_make(kind: Column, value: Column) -> Column:
     """Whether a value may be a credential by its make-up.
 
-    Tokens need digits, letters and at least 12 different characters; labelled values a digit
-    or sign besides letters and at least five different characters; the other kinds have a
-    format of their own.
+    A token is random throughout: letters and digits of two kinds at least, 12 different characters and for longer
+    ones 0.45 of the length, up to 24; and one stretch of 12 between its marks that mixes letters and digits and is
+    no hexadecimal number. So record numbers (UUIDs), commit ids and other digests, slugs
+    and dates are none, nor are parts of paths and links (a plain word beside a slash), nor counted-up
+    examples. What stands behind a dot or an at sign is no token either: it goes on a host or a name.
+    Labelled values need a digit or sign besides letters and at least five different
+    characters; the other kinds have a format of their own.
     """
     kinds = value.rlike("[0-9]").cast("int") + value.rlike("[a-z]").cast("int") + value.rlike("[A-Z]").cast("int")
-    varied = F.size(F.array_distinct(F.split(value, "")))
-    token = (kinds >= 2) & value.rlike("[0-9]") & (varied >= 12)
+    varied = F.size(F.array_distinct(F.filter(F.split(value, ""), lambda c: c != "")))
+    random = F.exists(F.split(value, "[-_/+=]"), lambda p: (F.length(p) >= 12) & p.rlike("[0-9]") & p.rlike("[A-Za-z]") & ~p.rlike("^[0-9A-Fa-f]+$"))
+    path = value.rlike("//|(^|/)[a-z]{3,}(/|$)|^/")
+    counted = value.rlike("(?i)abcdefgh|12345678|qwertyui")
+    token = (kinds >= 2) & random & ~path & ~counted & (varied >= F.greatest(F.lit(12.0), F.least(F.lit(24.0), F.length(value) * 0.45)))
     labelled = value.rlike("[A-Za-z]") & value.rlike("[^A-Za-z]") & (varied >= 5)
     return F.when(kind == "token", token).when(kind == "label", labelled).otherwise(True)
 
