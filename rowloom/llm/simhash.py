@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import WORD, staged
+from rowloom.llm.common import WORD, spread_join, staged
 from rowloom.llm.components import components
 
 _WORDS = re.compile(WORD)
@@ -141,12 +141,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Other columns are ignored. Empty input gives no rows.
     """
     prints = fingerprints(docs, doc_id, text, shingle)
-    fps = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct-fingerprints")
+    fps = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies")), "distinct-fingerprints")
     labels = components(links(fps.select("fp")))
-    joined = fps.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("label", "fp").alias("label"))
-    lows = joined.groupBy("label").agg(F.min("low").alias("component_id"))
-    of_fp = joined.join(lows, "label").select("fp", "component_id")
-    return prints.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    joined = staged(fps.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "low", "copies", F.coalesce("label", "fp").alias("label")), "labelled-fingerprints")
+    lows = joined.groupBy("label").agg(F.min("low").alias("component_id"), F.count("*").alias("members"))
+    # one text's copies, and one component's fingerprints, are dealt to several tasks
+    of_fp = spread_join(joined, lows, ["label"], "members", F.col("fp")).select("fp", "copies", "component_id")
+    return spread_join(prints, of_fp, ["fp"], "copies", F.col("doc_id")).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, near=near_duplicates) -> DataFrame:

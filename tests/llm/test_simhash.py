@@ -78,3 +78,15 @@ def test_crowded_buckets(spark):
         assert [labels.get(s[0], s[0]) for s in signed] == want, most
     labels = {r["node"]: r["label"] for r in simhash.components(simhash.links(frame, narrow=0)).collect()}
     assert [labels.get(s[0], s[0]) for s in signed] == want
+
+
+def test_copies_and_components_are_dealt(spark, monkeypatch):
+    """Keys of very many rows go to several tasks, with the same result."""
+    from rowloom.llm import common
+
+    rows = [(i, "one text that many documents hold") for i in range(300)] + [(300 + i, f"text number {i} of its own") for i in range(20)] + [(400 + i, None) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(tuple(r) for r in simhash.near_duplicates(docs).collect())
+    monkeypatch.setattr(common.spread_join, "__defaults__", (7,))
+    assert sorted(tuple(r) for r in simhash.near_duplicates(docs).collect()) == want
+    assert {r[2] for r in want if r[0] < 300} == {0} and {r[2] for r in want if r[0] >= 400} == {400}
