@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rowloom.functions.numbers import let
 from rowloom.functions.text import collapse_space, nfkc
 
 #: Letter grades from best to worst; the worst has value 1 (fixed values).
@@ -42,16 +43,20 @@ def sort_key(value: Column, speed: bool = False, status: bool = False) -> Column
     Of a range with slashes the last part may be a grade (or, with ``speed``, a number). Numbers
     come before texts; that order is fixed here, as comparing them as text would be no order.
     """
-    text = collapse_space(nfkc(value.cast("string")))
-    last = F.trim(F.element_at(F.split(text, "/"), -1))
-    whole = F.when(text.rlike(rf"(?i)^\d+(\.\d+)?({UNITS})?$"), F.regexp_extract(text, r"^\d+(\.\d+)?", 0).cast("double"))
-    number = F.coalesce(grade_value(last), whole)
-    if speed:
-        number = F.coalesce(number, F.when(last.rlike(r"^\d+(\.\d+)?$"), last.cast("double")))
-    if status:
-        number = F.coalesce(*[F.when(text == k, float(v)) for k, v in STATUS.items()], F.lit(-1.0))
     blank = is_blank(value.cast("string"))
-    return F.struct(blank.alias("blank"), F.when(~blank, number).alias("number"), F.when(~blank & number.isNull(), natural_text(text)).alias("text"))
+
+    def keyed(text: Column) -> Column:
+        last = F.trim(F.element_at(F.split(text, "/"), -1))
+        whole = F.when(text.rlike(rf"(?i)^\d+(\.\d+)?({UNITS})?$"), F.regexp_extract(text, r"^\d+(\.\d+)?", 0).cast("double"))
+        number = F.coalesce(grade_value(last), whole)
+        if speed:
+            number = F.coalesce(number, F.when(last.rlike(r"^\d+(\.\d+)?$"), last.cast("double")))
+        if status:
+            number = F.coalesce(*[F.when(text == k, float(v)) for k, v in STATUS.items()], F.lit(-1.0))
+        return let(number, lambda n: F.struct(blank.alias("blank"), F.when(~blank, n).alias("number"), F.when(~blank & n.isNull(), natural_text(text)).alias("text")))
+
+    # the normalised text is bound once; a plain reference would be computed at each of its uses
+    return let(collapse_space(nfkc(value.cast("string"))), keyed)
 
 
 def ordering(key: str, ordinal: str, descending: bool = True) -> list[Column]:
@@ -67,8 +72,7 @@ COLLATION = "ja_CI_AI"
 
 def collated_key(value: Column) -> Column:
     """sort_key() whose text compares by COLLATION: a total order of keys, blanks last, numbers before texts."""
-    key = sort_key(value)
-    return F.struct(key["blank"].alias("blank"), key["number"].alias("number"), F.collate(key["text"], COLLATION).alias("text"))
+    return let(sort_key(value), lambda key: F.struct(key["blank"].alias("blank"), key["number"].alias("number"), F.collate(key["text"], COLLATION).alias("text")))
 
 
 def collated_ordering(key: str) -> list[Column]:
@@ -78,8 +82,7 @@ def collated_ordering(key: str) -> list[Column]:
 
 def ability_pair(value: Column) -> Column:
     """Limit, then growth, of a growth/limit pair of grades, as sort values."""
-    parts = F.split(nfkc(value), "/")
-    return F.struct(grade_value(F.element_at(parts, -1)).alias("limit"), grade_value(F.get(parts, 0)).alias("growth"))
+    return let(F.split(nfkc(value), "/"), lambda parts: F.struct(grade_value(F.element_at(parts, -1)).alias("limit"), grade_value(F.get(parts, 0)).alias("growth")))
 
 
 def default_descending(column: str, alphabetic: set[str]) -> bool:
