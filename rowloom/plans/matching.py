@@ -92,6 +92,19 @@ def stitch_pages(spark, sf_dir):
     return stitch.stitch(event_pages(spark, sf_dir), same_payload())
 
 
+@query(
+    "stitch_best_copy",
+    PAGES_SQL
+    + """, c AS (SELECT user_id, n, event_id, page, CASE WHEN page % 3 = 1 THEN 1000000000 ELSE 0 END + (event_id * 7 + page * 31) % 100 AS quality FROM (SELECT *, unnest(generate_series(lo, hi)) AS page FROM p))
+SELECT user_id AS batch, n AS position, count(*) OVER (PARTITION BY user_id, n) AS copies, page, CAST(n - page * 7 AS INTEGER) AS row, event_id AS payload FROM c QUALIFY row_number() OVER (PARTITION BY user_id, n ORDER BY quality DESC, page) = 1
+""",
+)
+def stitch_best_copy(spark, sf_dir):
+    """Of a row's copies the one on a page with a valid header, then the largest."""
+    quality = F.when(F.col("page") % 3 == 1, 1_000_000_000).otherwise(0) + (F.col("payload") * 7 + F.col("page") * 31) % 100
+    return stitch.stitch(event_pages(spark, sf_dir), same_payload(), quality)
+
+
 @query("batch_isolation", PAGES_SQL + "SELECT b || '__' || user_id AS batch, n AS position, event_id AS payload FROM p, (SELECT unnest(['x', 'y']) AS b)")
 def batch_isolation(spark, sf_dir):
     """Two archives with the same pages stay apart."""
