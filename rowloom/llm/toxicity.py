@@ -163,6 +163,11 @@ def with_letters(word: str, count: int, how_many: int, letters: str) -> list[str
     return out
 
 
+def _product(x: np.ndarray, w: np.ndarray, block: int = 4096) -> np.ndarray:
+    """x @ w in doubles, a block of rows at a time: the whole of x as doubles would take twice its room."""
+    return np.concatenate([x[s : s + block].astype(np.float64) @ w for s in range(0, len(x), block)])
+
+
 def train_machine(words: list[str], pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int, n_landmarks: int, hard: np.ndarray, penalty: float = 1e-5, versions: int = 30) -> np.ndarray:
     """One weight per triple, from the numbers ``pos`` and ``neg`` of toxic and other documents that hold each word.
 
@@ -209,7 +214,7 @@ def train_machine(words: list[str], pos: np.ndarray, neg: np.ndarray, n_pos: int
         pull = np.concatenate([pull, pull[of_word] / max(1, versions)])
         w = np.zeros(x.shape[1])
         for _ in range(20):  # Newton's method on the squared hinge
-            s = x @ w
+            s = _product(x, w)
             short, above = pull * (s < goal), push * (s > -1)
             curve, slope = penalty * np.eye(len(w)), np.zeros(len(w))
             for at in range(0, len(x), 4096):  # in blocks, as the sums need doubles
@@ -221,7 +226,7 @@ def train_machine(words: list[str], pos: np.ndarray, neg: np.ndarray, n_pos: int
             w, moved = new, np.abs(new - w).max()
             if moved < 1e-6:
                 break
-        surprise = np.maximum(surprise, np.where(neg == 0, np.clip(2 * (x[: len(words)] @ w) - 1, 0, 1), 0))
+        surprise = np.maximum(surprise, np.where(neg == 0, np.clip(2 * _product(x[: len(words)], w) - 1, 0, 1), 0))
     weights = np.zeros((1 << 18) + 1, np.float32)
     weights[known] = values @ (whiten @ w[:-1])
     weights[-1] = w[-1]
