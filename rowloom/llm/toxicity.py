@@ -122,32 +122,41 @@ def word_scores(words: list[str], weights: np.ndarray) -> np.ndarray:
     return np.minimum(best, CEILING)
 
 
-def landmark_features(words: list[str], landmarks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Kernel of each word with each landmark (a word of several parts: the last one's); the landmarks' triples and their values."""
-    table: dict[int, np.ndarray] = {}
-    for owner, ids, real, weight in triples(landmarks):
-        for row, which, is_real in zip(owner, ids, real, strict=True):
-            for triple in which[is_real]:
-                table.setdefault(int(triple), np.zeros(len(landmarks), np.float32))[row] += weight
+def landmark_table(landmarks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The triples of the landmarks, in order, and a row of values for each: its weight in every landmark, over the norm of its last part."""
+    found = [(ids[real], np.repeat(owner, ids.shape[1]).reshape(ids.shape)[real], weight) for owner, ids, real, weight in triples(landmarks)]
+    known, at = np.unique(np.concatenate([ids for ids, _, _ in found]), return_inverse=True)
+    values = np.zeros((len(known), len(landmarks)), np.float32)
+    weights = np.concatenate([np.full(len(ids), weight, np.float32) for ids, _, weight in found])
+    np.add.at(values, (at, np.concatenate([rows for _, rows, _ in found])), weights)
     for codes, owner, _ in by_width(landmarks):
         for row, norm in zip(owner, norm_of(codes), strict=True):
-            for at in table.values():
-                at[row] /= norm
-    known = np.array(sorted(table), np.int64)
-    values = np.vstack([*[table[int(t)] for t in known], np.zeros((1, len(landmarks)), np.float32)])
+            values[:, row] /= norm
+    return known, values
+
+
+def kernel_blocks(words: list[str], known: np.ndarray, values: np.ndarray, block: int = 4000) -> Iterator[tuple[int, np.ndarray]]:
+    """For each block of words its start and its kernel with each landmark (a word of several parts: the last one's)."""
     place = np.full(1 << 18, len(known), np.int32)
     place[known] = np.arange(len(known))
-    out = np.zeros((len(words), len(landmarks)), np.float32)
-    for s in range(0, len(words), 4000):
-        for codes, owner, width in by_width(words[s : s + 4000]):
-            sums = np.zeros((len(codes), len(landmarks)), np.float32)
+    for s in range(0, len(words), block):
+        some = words[s : s + block]
+        out = np.zeros((len(some), values.shape[1]), np.float32)
+        for codes, owner, width in by_width(some):
+            sums = np.zeros((len(codes), values.shape[1]), np.float32)
             for i, j in _STEPS:
                 ids = place[(codes[:, : width - j] << 12) | (codes[:, i : width - j + i] << 6) | codes[:, j:]]
                 for column in range(ids.shape[1]):
                     hit = np.flatnonzero(ids[:, column] < len(known))
                     sums[hit] += values[ids[hit, column]] * np.float32(DECAY ** (j - 2))
-            out[s + owner] = sums / norm_of(codes)[:, None]
-    return out, known, values[:-1]
+            out[owner] = sums / norm_of(codes)[:, None]
+        yield s, out
+
+
+def landmark_features(words: list[str], landmarks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Kernel of each word with each landmark; the landmarks' triples and their values."""
+    known, values = landmark_table(landmarks)
+    return np.concatenate([k for _, k in kernel_blocks(words, known, values)]), known, values
 
 
 def with_letters(word: str, count: int, how_many: int, letters: str) -> list[str]:
@@ -196,13 +205,13 @@ def train_machine(words: list[str], pos: np.ndarray, neg: np.ndarray, n_pos: int
     odds = np.log(((pos + 0.5) / n_pos) / ((neg + 0.5) / n_neg))
     goal = np.clip(odds / 2 * pos / (pos + 10), 1, 4)
     goal = np.concatenate([goal, goal[of_word]])
-    kernel, known, values = landmark_features([*words, *(v for v, _ in made)], [words[i] for i in chosen])
-    spread, vectors = np.linalg.eigh(kernel[chosen].astype(np.float64))
+    marks, known, values = landmark_features([words[i] for i in chosen], [words[i] for i in chosen])
+    spread, vectors = np.linalg.eigh(marks.astype(np.float64))
     keep = spread > 1e-3 * spread.max()
     whiten = vectors[:, keep] / np.sqrt(spread[keep])
-    x = np.ones((len(kernel), whiten.shape[1] + 1), np.float32)
-    np.matmul(kernel, whiten.astype(np.float32), out=x[:, :-1])
-    del kernel
+    x = np.ones((len(words) + len(made), whiten.shape[1] + 1), np.float32)
+    for at, kernel in kernel_blocks([*words, *(v for v, _ in made)], known, values):
+        x[at : at + len(kernel), :-1] = kernel @ whiten.astype(np.float32)
     push = (neg + 0.1) / (neg + 0.1).sum()
     push = push + (neg > 0) / max(1, (neg > 0).sum())  # rare words count too
     if hard.any():
