@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowloom.functions import numbers
-from rowloom.operators import agreement, assign, match, stitch
+from rowloom.operators import agreement, assign, match, stitch, vectors
 from rowloom.operators.cascade import Stage, item, run_cascade, stage_sizes
 from rowloom.plans.matching import event_pages
 from rowloom.plans.registry import query
@@ -61,9 +61,7 @@ def readings(rows: DataFrame) -> DataFrame:
 def search_crops(crops: DataFrame, rows: DataFrame, gated: bool, top: int = 5) -> DataFrame:
     """The best records of every crop (row, category, crop, q), of its category alone where ``gated``: row, attempt, place, uid, score, margin, same_name."""
     asked = crops.withColumn("query_id", F.col("row") * 16 + F.col("crop"))
-    fits = F.col("category").isNull() | (F.col("label") == F.col("category"))
-    score = F.round(numbers.dot(F.col("q"), F.col("u")), 6)
-    found = match.in_blocks(asked, rows.select("uid", "label", "u", "same_name"), F.when(fits, score) if gated else score, top=top).filter("score is not null")
+    found = vectors.best_by_product(asked, rows.select("uid", "label", "u", "same_name"), ("q", "u"), top=top, gate=("category", "label") if gated else None).filter("score is not null")
     found = match.with_margin(found).withColumn("margin", F.round("margin", 6))
     return found.select("row", F.col("crop").cast("int").alias("attempt"), "place", "uid", "score", "margin", "same_name")
 
