@@ -124,6 +124,21 @@ def test_gates(spark):
         assert len({f[0][i] for f in pools.values()}) == 2  # every gate is taken and refused
 
 
+def test_gates_ask_once(spark):
+    """Queries that ask alike take the same gates, and pairs of a query and a cell of the roster are never made."""
+    roster = [(i, "pc"[i % 2], "rl"[i % 3 % 2], "abcdefgh"[i % 8] * (i % 5 + 1), "x" * (i % 7), 20) for i in range(300)]
+    table = spark.createDataFrame(roster, "uid int, position string, hand string, family string, given string, age int")
+    kinds = [("p", "r", "aaa", 3, 2), ("", "", "bbbb", None, 40), (None, "l", None, 2, None)]
+    q = spark.createDataFrame([(i, *kinds[i % 3]) for i in range(90)], "query_id int, position string, hand string, family string, family_length int, given_length int")
+    names = ("uid", "position", "hand", "family", "given", "age")
+    plain = [plain_gates(dict(zip(("position", "hand", "family", "family_length", "given_length"), k)), [dict(zip(names, r)) for r in roster]) for k in kinds]
+    got = gates.narrowed(q, table).collect()
+    assert len(got) == 90
+    for r in got:
+        flags, members = plain[r["query_id"] % 3]
+        assert ([r[f] for f in gates.FLAGS], r["pool"]) == (flags, len(members))
+
+
 def test_refine(spark):
     rows = [(1, 10, 1, 0.5, 0.5), (1, 11, 2, 0.49, 0.6), (1, 12, 15, 0.3, 0.9), (2, 10, 1, 0.8, 0.1), (2, 11, 2, 0.6, 0.9), (3, 10, 1, 0.3, 0.1), (3, 11, 2, 0.29, 0.9)]
     table = spark.createDataFrame(rows, "query_id int, uid int, place int, coarse double, fine double")
