@@ -40,3 +40,11 @@ def test_few_candidates(spark):
     n = bags.count()
     bound = lambda c, a, b: c / F.greatest(a, b) * 0.72 + 2 * c / (a + b) * 0.28 >= 0.7 - 1e-9
     assert match.sharing_bags(bags.select("bag").distinct(), 0.66, bound).count() < n * (n - 1) / 20
+
+
+def test_every_name_is_asked(spark):
+    """All names are read, not those of some ids alone."""
+    from rowloom.plans import agreement
+
+    names = spark.read.parquet("/root/testdata/sf0.001/part.parquet").select("p_name").distinct().count()
+    assert agreement.text_match(spark, "/root/testdata/sf0.001").select("truth").distinct().count() == names
