@@ -30,15 +30,23 @@ def page_pairs(rows: DataFrame) -> DataFrame:
 
 
 def row_pairs(rows: DataFrame, longest: int) -> DataFrame:
-    """For each page and k the k pairs of its last rows with the next page's first: batch, page, k, a and b (structs of payload)."""
-    pairs = page_pairs(rows).filter("next_page is not null").filter(F.col("tab").isNull() | F.col("next_tab").isNull() | (F.col("tab") == F.col("next_tab")))
-    ks = pairs.withColumn("k", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), "size", "next_size").cast("int"))))
-    cells = ks.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("batch", "page", "next_page", "k", (F.col("size") - F.col("k") + F.col("j") + 1).alias("row_a"), (F.col("j") + 1).alias("row_b"))
-    a = rows.select(F.col("batch").alias("_ba"), F.col("page").alias("_pa"), F.col("row").alias("_ra"), F.struct("payload").alias("a"))
-    b = rows.select(F.col("batch").alias("_bb"), F.col("page").alias("_pb"), F.col("row").alias("_rb"), F.struct("payload").alias("b"))
-    joined = cells.join(a, (F.col("batch") == F.col("_ba")) & (F.col("page") == F.col("_pa")) & (F.col("row_a") == F.col("_ra")))
-    joined = joined.join(b, (F.col("batch") == F.col("_bb")) & (F.col("next_page") == F.col("_pb")) & (F.col("row_b") == F.col("_rb")))
-    return joined.select("batch", "page", "k", "row_a", "row_b", "a", "b")
+    """For each page and k the k pairs of its last rows with the next page's first: batch, page, k, a and b (structs of payload).
+
+    Rows are dealt by batch once; a page holds its last rows and its neighbour's first, and makes its pairs from these without a join.
+    """
+    tab = F.max("tab") if "tab" in rows.columns else F.lit(None).cast("string")
+    held = rows.filter("batch is not null and page is not null").repartition("batch")
+    pages = held.groupBy("batch", "page").agg(F.count("*").alias("size"), tab.alias("tab"), F.collect_list(F.struct("row", "payload")).alias("all"))
+    near = Window.partitionBy("batch").orderBy("page")
+    pages = pages.withColumn("next", F.lead(F.struct("size", "tab", F.filter("all", lambda r: r["row"] <= longest).alias("head"))).over(near)).filter("next is not null")
+    pages = pages.filter(F.col("tab").isNull() | F.col("next.tab").isNull() | (F.col("tab") == F.col("next.tab")))
+    # the pair of a page's row a with the next one's row b belongs to the k that puts both in one place
+    most = F.least(F.lit(longest), F.col("size"), F.col("next.size"))
+    tail = F.filter("all", lambda r: r["row"] > F.col("size") - longest)
+    k = lambda a, b: (F.col("size") - a["row"] + b["row"]).cast("int")
+    pair = lambda a, b: F.struct(k(a, b).alias("k"), a["row"].alias("row_a"), b["row"].alias("row_b"), F.struct(a["payload"].alias("payload")).alias("a"), F.struct(b["payload"].alias("payload")).alias("b"))
+    pairs = F.flatten(F.transform(tail, lambda a: F.transform(F.filter(F.col("next.head"), lambda b: k(a, b) <= most), lambda b: pair(a, b))))
+    return pages.select("batch", "page", F.explode(pairs).alias("pair")).select("batch", "page", "pair.*")
 
 
 def overlap_options(rows: DataFrame, score: Column, longest: int = LONGEST) -> DataFrame:
