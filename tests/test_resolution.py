@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from rowloom.operators import agreement, assign, cascade, match, stitch
@@ -87,6 +88,46 @@ def test_assignment_equals_one_by_one(spark):
     assert assign.assign_unique(offers.limit(0)).count() == 0
 
 
+def test_rounds_of_a_group_stay_in_a_task(spark):
+    """However many rounds groups take, the jobs are the same few."""
+    rows = [(g, r, u, 3 - u * 0.05 + r * 0.001, 0, 0, False) for g in range(5) for r in range(12) for u in range(12)]  # all rows compete for the same candidate
+    offers = spark.createDataFrame(rows, "group long, row long, uid long, score double, meta int, agreed int, read boolean")
+    spark.sparkContext.setJobGroup("rounds", "rounds of a group")
+    try:
+        got = assign.assign_unique(offers).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {(r["group"], r["row"], r["uid"], r["round"]) for r in got} == {(g, 11 - u, u, u + 1) for g in range(5) for u in range(12)}
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("rounds")) < 24
+
+
+def test_assignment_by_tasks_equals_jobs(spark, monkeypatch):
+    """Batches that end inside a group, groups too large for a task, absent groups and candidates."""
+    rnd = random.Random(10)
+    some = lambda g: [(r, u, rnd.choice([0.65, 0.7, 0.8, 0.9]) + u / 50, rnd.randint(0, 3), None, None) for r in range(rnd.randint(1, 20)) for u in rnd.sample(range(6), rnd.randint(1, 4))]
+    groups = {g: some(g) for g in [None, *"abcdefgh"]}
+    groups["h"] += [(r, None, 0.95, 1, 2, True) for r in range(3)]
+    offers = spark.createDataFrame([(g, *x) for g, rows in groups.items() for x in rows], "group string, row int, uid int, score double, meta int, agreed int, read boolean")
+    used = spark.createDataFrame([("a", 3), (None, 4), ("h", None), ("unknown", 1), ("b", 1 << 40)], "group string, uid long")
+    monkeypatch.setattr(assign, "TOGETHER", 50)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {large: assign.assign_unique(offers, used, large) for large in (0, 30, 20_000)}
+        found = {large: {(*r[:4], 0 if r["group"] == "h" else r["round"]) for r in df.collect()} for large, df in got.items()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(found[0]) > 30 and found[0] == found[30] == found[20_000]
+    assert not {("a", 3), (None, 4)} & {(g, u) for g, _, u, _, _ in found[0]} and sum(u is None for _, _, u, _, _ in found[0]) == 3
+    assert got[0].schema.simpleString() == got[20_000].schema.simpleString() == "struct<group:string,row:int,uid:int,score:double,round:int>"
+
+
+def test_nine_decimals_as_spark(spark):
+    rnd = random.Random(11)
+    values = [(2 * rnd.randrange(10**9) + 1) * 5 / 10**10 for _ in range(2000)] + [rnd.uniform(-3, 3) for _ in range(2000)] + [rnd.uniform(0, 10**k) for k in range(1, 17) for _ in range(50)] + [0.0, 1e300, float("inf")]
+    want = [r[0] for r in spark.createDataFrame([(x,) for x in values], "x double").select(F.round("x", 9)).collect()]
+    assert assign._nine(np.array(values)).tolist() == want
+
+
 def test_plan_equals_all_plans(spark):
     rnd = random.Random(9)
     rows, options, totals, bounds = [], [], [], {}
