@@ -19,8 +19,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rowloom.llm.common import WORD, spread_join, staged
 from rowloom.llm.components import components
@@ -150,9 +151,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return spread_join(prints, of_fp, ["fp"], "copies", F.col("doc_id")).select("doc_id", "fp", "component_id")
 
 
+def row_key(docs: DataFrame) -> Column:
+    """A struct of doc_id and ``row``, a hash that tells rows apart; nulls count, which xxhash64 alone passes over."""
+
+    def value(field: T.StructField) -> Column:
+        at = F.col("`" + field.name.replace("`", "``") + "`")
+        nested = isinstance(field.dataType, T.ArrayType | T.MapType | T.StructType | T.VariantType)
+        return F.to_json(F.struct(at.alias("v")), {"ignoreNullFields": "false"}) if nested else at
+
+    values = [value(f) for f in docs.schema]
+    return F.struct("doc_id", F.xxhash64(*[v.isNull() for v in values], *values).alias("row"))
+
+
 def keep_one(docs: DataFrame, shingle: int = 5, near=near_duplicates) -> DataFrame:
     """``docs`` with one document of each group, that with the smallest doc_id (null first), and one of rows that are alike; ``near`` finds the groups."""
-    keyed = docs.withColumn("_rl_row", F.struct("doc_id", F.xxhash64(*docs.columns).alias("row")))
+    keyed = docs.withColumn("_rl_row", row_key(docs))
     found = near(keyed, doc_id="_rl_row", shingle=shingle)
     first = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_rl_first")).distinct()
     kept = keyed.join(first, F.col("_rl_row") == F.col("_rl_first"), "left_semi")
